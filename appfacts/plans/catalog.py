@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["misuse"]
+MODULES = ["matching"]
 
 
 def load_all() -> None:

@@ -1,6 +1,7 @@
 """Fact tables derived from the driver's tables.
 
-Each fact table is one SELECT that Spark and DuckDB both accept: ``{name}`` stands for the table it reads and
+Each fact table is one SELECT that Spark and DuckDB both accept: ``{name}`` stands for the table it reads (a plain
+brace is doubled) and
 ``$SPREAD(n)`` for n copies of each row numbered by ``k``.  The Spark side runs it with ``spark.sql``; the oracle side
 puts the same text into a WITH clause.
 """
@@ -119,7 +120,7 @@ SELECT o_orderkey AS unit_id, CAST(FLOOR(o_custkey / 15.0) AS BIGINT) AS app_id,
   'const-string v0 "android.api.C' || CAST(o_custkey % 40 AS STRING) || '"' || chr(10)
     || 'const-string v1 "m' || CAST(o_orderkey % 12 AS STRING) || '"' || chr(10)
     || 'constclass @type ^`Landroid/api/C' || CAST(o_orderkey % 40 AS STRING) || ';` "' || chr(10)
-    || CASE o_custkey % 9 WHEN 0 THEN 'call Ljava/lang/Class;.forName:(x)' WHEN 1 THEN 'NATIVE {'
+    || CASE o_custkey % 9 WHEN 0 THEN 'call Ljava/lang/Class;.forName:(x)' WHEN 1 THEN 'NATIVE {{'
          WHEN 2 THEN 'call Lx;.loadClass:(Ljava/lang/String;)Ljava/lang/Class;' WHEN 3 THEN 'https://m.facebook.com/dialog'
          WHEN 4 THEN 'api.twitter.com/1' WHEN 5 THEN 'access_token=' WHEN 6 THEN 'Lcom/x/Facebook;.dialog:(x)'
          WHEN 7 THEN 'see http://h' || CAST(o_orderkey % 5 AS STRING) || '.github.com/a?b=c'
@@ -293,7 +294,7 @@ SELECT CASE WHEN p_partkey % 3 = 0 THEN 'android.os.C' ELSE 'com.android.C' END
 FROM {part} WHERE p_size % 4 <> 0 AND p_partkey % 3 <> 2"""
 
 _SPREAD = re.compile(r"\$SPREAD\((\d+)\)")
-_DEP = re.compile(r"\{(\w+)\}")
+_DEP = re.compile(r"(?<!\{)\{(\w+)\}")
 
 
 def _spark_text(text: str) -> str:
@@ -304,7 +305,7 @@ def _spark_text(text: str) -> str:
 
 def _duck_text(text: str) -> str:
     text = _SPREAD.sub(lambda m: "CROSS JOIN (SELECT unnest([" + ", ".join(map(str, range(int(m[1])))) + "]) AS k) sp", text)
-    return _DEP.sub(lambda m: m[1], text)
+    return _DEP.sub(lambda m: m[1], text).replace("{{", "{")
 
 
 class Facts:
