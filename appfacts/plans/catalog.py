@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["matching"]
+MODULES = ["graph", "taint", "hierarchy"]
 
 
 def load_all() -> None:

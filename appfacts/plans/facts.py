@@ -133,6 +133,15 @@ SELECT DISTINCT CASE p_size % 2 WHEN 0 THEN 'hidden' ELSE 'nonpublic' END AS kin
   'android.api.C' || CAST(p_partkey % 40 AS STRING) AS class_name, 'm' || CAST(p_size % 12 AS STRING) AS method
 FROM {part}"""
 
+FACTS["fx_taint_nodes"] = """
+SELECT DISTINCT app_id, node, CASE WHEN node % 10 = 3 THEN 'source' ELSE 'sink' END AS role,
+  CASE WHEN node % 10 = 3 THEN CASE CAST(FLOOR(node / 10.0) AS BIGINT) % 4 WHEN 0 THEN 'API_SOURCE' WHEN 1 THEN 'CALLBACK_SOURCE'
+      WHEN 2 THEN 'ICC_SOURCE' ELSE 'STMT_SOURCE' END
+    ELSE CASE CAST(FLOOR(node / 10.0) AS BIGINT) % 3 WHEN 0 THEN 'API_SINK' WHEN 1 THEN 'ICC_SINK' ELSE 'STMT_SINK' END END AS category,
+  'd' || CAST(node AS STRING) AS descriptor
+FROM (SELECT app_id, use_node AS node FROM {fx_dep_edges} UNION SELECT app_id, def_node FROM {fx_dep_edges}) n
+WHERE node % 10 IN (3, 7)"""
+
 FACTS["fx_strings"] = """
 SELECT page_id % 100 AS app_id, 'resource' AS origin, 'open ' || url || ' now' AS value
 FROM {pages}"""
@@ -293,6 +302,19 @@ SELECT CASE WHEN p_partkey % 3 = 0 THEN 'android.os.C' ELSE 'com.android.C' END
   'm' || CAST((p_size + 2) % 12 AS STRING) AS method
 FROM {part} WHERE p_size % 4 <> 0 AND p_partkey % 3 <> 2"""
 
+# Dependence-graph nodes with what they stand for.
+FACTS["fx_nodes"] = """
+SELECT DISTINCT l_suppkey AS app_id, l_partkey % 60 AS node, CAST(FLOOR((l_partkey % 60) / 5.0) AS BIGINT) AS site_id,
+  CASE l_partkey % 5 WHEN 0 THEN 'virtual_body' WHEN 1 THEN 'call_arg' WHEN 2 THEN 'call_arg' WHEN 3 THEN 'entry_param'
+    ELSE 'normal' END AS node_kind,
+  CASE l_partkey % 5 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN l_partkey % 3 ELSE NULL END AS position,
+  CASE WHEN l_partkey % 5 < 3 THEN CASE CAST(FLOOR((l_partkey % 60) / 5.0) AS BIGINT) % 4
+    WHEN 0 THEN 'Lx/Src;.get:()V' WHEN 1 THEN 'Lx/Sink;.put:(I)V'
+    WHEN 2 THEN 'Landroid/app/Activity;.startActivity:(Landroid/content/Intent;)V'
+    ELSE 'Landroid/app/Activity;.findViewById:(I)Landroid/view/View;' END ELSE NULL END AS callee_sig,
+  'Lcom/app/O' || CAST((l_partkey % 60) % 7 AS STRING) || ';.m:()V' AS owner_sig
+FROM {lineitem}"""
+
 _SPREAD = re.compile(r"\$SPREAD\((\d+)\)")
 _DEP = re.compile(r"(?<!\{)\{(\w+)\}")
 
