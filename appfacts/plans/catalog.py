@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["graph", "taint", "hierarchy"]
+MODULES = ["pointers"]
 
 
 def load_all() -> None:
