@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["pointers"]
+MODULES = ["misuse", "manifest", "text", "matching", "hierarchy", "graph", "taint", "studies", "sets", "pointers", "io"]
 
 
 def load_all() -> None:
