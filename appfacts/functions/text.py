@@ -48,10 +48,10 @@ def parse_intent_uri(uri) -> Column:
 def mime_matches(mimes, mime) -> Column:
     """Filter MIME types against one intent type (see ``data_matches`` for the null rules)."""
     ts, m = _col(mimes), _col(mime)
-    shape = r"^[^/]+/[^/]+$"
+    shape = r"^(?:[^*/]+|\*)/(?:[^*]+|\*)$"
 
     def one(t):
-        t_tail, m_tail = F.substring_index(t, "/", -1), F.substring_index(m, "/", -1)
+        t_tail, m_tail = F.split_part(t, F.lit("/"), F.lit(2)), F.split_part(m, F.lit("/"), F.lit(2))
         return (
             t.rlike(shape)
             & m.rlike(shape)
@@ -67,6 +67,19 @@ def _no_items(a: Column) -> Column:
     return F.coalesce(F.size(a) <= 0, F.lit(True))
 
 
+# Path patterns come from apps and may be broken expressions.  Plain characters, escapes, classes and groups without
+# nesting, each with at most one repetition sign, are safe to compile; any other pattern matches nothing.
+SAFE_PATTERN = (
+    r"^(?:(?:\\.|\[[^\[\]\\&]+\]|\((?:(?:\\.|[^\\()\[\]{}*+?|^$])[*+?]?)+\)|[^\\()\[\]{}*+?|^$])[*+?]?)*$"
+)
+
+
+def _path_matches(path: Column, pattern: Column) -> Column:
+    """Whole-path test; the pattern's Java-string escapes are undone first."""
+    p = F.regexp_replace(pattern, r"\\(.)", "$1")
+    return F.when(p.rlike(SAFE_PATTERN), F.rlike(path, F.concat(F.lit("^(?:"), p, F.lit(")$")))).otherwise(F.lit(False))
+
+
 def uri_matches(data, uri) -> Column:
     """Scheme, then authority, then path of an intent URI against a filter's data."""
     d, u = _col(data), _col(uri)
@@ -86,7 +99,7 @@ def uri_matches(data, uri) -> Column:
     path_ok = (
         F.coalesce(F.array_contains(paths, path), F.lit(False))
         | F.coalesce(F.exists(prefixes, lambda p: path.startswith(p)), F.lit(False))
-        | F.coalesce(F.exists(patterns, lambda p: F.rlike(path, F.concat(F.lit("^(?:"), p, F.lit(")$")))), F.lit(False))
+        | F.coalesce(F.exists(patterns, lambda p: _path_matches(path, p)), F.lit(False))
     )
     return (
         F.when(_no_items(schemes), u["scheme"].isNull())
