@@ -192,24 +192,25 @@ wiyun mobisage sktelecom vdopia adlocal admob greystripe uplusad adagogo jumptap
 mediba moolah adknowledge transpera adview adlantis airpush leadbolt wqmobile wooboo
 """.split()
 
-# Login-text vocabulary; the four families are put together from these parts.
+# Login-text vocabulary; the four families are put together from these parts.  Repetitions are over character
+# classes, not groups: a repeated group uses the stack for every character of a long text.
 _PROVIDER = (
     r"(([Ff]acebook)|([tT]witter)|([gG]oogle)|([lL]ive)|([mM]icrosoft)|([tT]umblr)|([lL]inkedin)|([yY]ahoo)|([fF]lickr))"
 )
-_LOGIN = r"(([lL]og(\s)*in)|([sS]ign(\s)*on)|([rR]egister))"
+_LOGIN = r"(([lL]og\s*in)|([sS]ign\s*on)|([rR]egister))"
 _PREPOSITION = r"(([bB]y)|([wW]ith)|([uU]sing)|([vV]ia)|([tT]hrough))"
-_SSO = r"((sso)|(SSO)|([sS]ingle(\s)*[sS]ign(\s)*[oO]n))"
+_SSO = r"((sso)|(SSO)|([sS]ingle\s*[sS]ign\s*[oO]n))"
 _TOKEN = r"((token)|(Token)|(TOKEN))"
 _CODE = r"((code)|(Code)|(CODE))"
-_VERIFIER = r"(([vV]erifier)|([vV]eri)|([pP]in)|([pP]incode)|([pP]in(\s)*[cC]ode))"
+_VERIFIER = r"(([vV]erifier)|([vV]eri)|([pP]in)|([pP]incode)|([pP]in\s*[cC]ode))"
 _ACCESS = r"((access)|(Access)|(ACCESS)|([aA]uth)|([Aa]uthorization))"
 _REQUEST = r"(([rR]eq)|([Rr]equest)|(REQUEST))"
 _OAUTH = r"((OAuth)|(Oauth)|(oauth)|(OAUTH))"
-_CONNECT = r"(\s|_|\.)*"
+_CONNECT = r"[\s_.]*"
 LOGIN_PATTERNS = {
     "sso": (
-        rf"(\b{_SSO}\b)|(\b{_PROVIDER}(\s)*([lL]ogin)\b)"
-        rf"|\b({_LOGIN}(\s)+{_PREPOSITION}(\s|\w)*\b{_PROVIDER}\b)"
+        rf"(\b{_SSO}\b)|(\b{_PROVIDER}\s*([lL]ogin)\b)"
+        rf"|\b({_LOGIN}\s+{_PREPOSITION}[\s\w]*\b{_PROVIDER}\b)"
     ),
     "oauth": rf"(\b({_ACCESS}{_CONNECT}{_TOKEN})|{_OAUTH}\b)",
     "oauth1": rf"(\b({_REQUEST}{_CONNECT}{_TOKEN})|(({_ACCESS}|{_OAUTH}){_CONNECT}{_VERIFIER})\b)",

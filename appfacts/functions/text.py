@@ -68,9 +68,10 @@ def _no_items(a: Column) -> Column:
 
 
 # Path patterns come from apps and may be broken expressions.  Plain characters, escapes, classes and groups without
-# nesting, each with at most one repetition sign, are safe to compile; any other pattern matches nothing.
+# nesting, each with at most one repetition sign, are safe to compile; any other pattern matches nothing.  The
+# possessive repetitions keep the check itself from using the stack.
 SAFE_PATTERN = (
-    r"^(?:(?:\\.|\[[^\[\]\\&]+\]|\((?:(?:\\.|[^\\()\[\]{}*+?|^$])[*+?]?)+\)|[^\\()\[\]{}*+?|^$])[*+?]?)*$"
+    r"^(?:(?:\\.|\[[^\[\]\\&]+\]|\((?:(?:\\.|[^\\()\[\]{}*+?|^$])[*+?]?)++\)|[^\\()\[\]{}*+?|^$])[*+?]?)*+$"
 )
 
 

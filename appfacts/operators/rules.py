@@ -58,15 +58,21 @@ def rule_tables(spark: SparkSession, rules: list[Rule]) -> tuple[DataFrame, Data
     return callees, conditions
 
 
-def match_rule_calls(call_sites: DataFrame, callees: DataFrame) -> DataFrame:
-    """Call sites whose callee a rule names, by whole signature or by sub-signature."""
-    keyed = call_sites.withColumn(
-        "callee",
-        F.explode(F.array_distinct(F.array("callee_sig", signature_parts("callee_sig")["sub_sig"]))),
-    )
-    return keyed.join(callees, "callee").where(
-        F.when(F.col("by_sub_sig"), F.col("callee") != F.col("callee_sig")).otherwise(F.col("callee") == F.col("callee_sig"))
-    )
+def match_rule_calls(call_sites: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Call sites whose callee a rule names, by whole signature or by sub-signature.
+
+    With whole signatures only, the list also goes to the scan as a filter; sub-signatures are taken apart only when
+    some rule needs them.
+    """
+    callees, _ = rule_tables(call_sites.sparkSession, rules)
+    exact = sorted({c for r in rules if not r.by_sub_signature for c in r.callees})
+    if not any(r.by_sub_signature for r in rules):
+        return call_sites.where(F.col("callee_sig").isin(exact)).withColumn("callee", F.col("callee_sig")).join(callees, "callee")
+    sub = signature_parts("callee_sig")["sub_sig"]
+    if not exact:
+        return call_sites.withColumn("callee", sub).join(callees, "callee")
+    keyed = call_sites.withColumn("callee", F.explode(F.array_distinct(F.array("callee_sig", sub))))
+    return keyed.join(callees, "callee").where(F.col("by_sub_sig") == (F.col("callee") != F.col("callee_sig")))
 
 
 def check_call_rules(call_sites: DataFrame, arg_values: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -75,12 +81,15 @@ def check_call_rules(call_sites: DataFrame, arg_values: DataFrame, rules: list[R
     Both fact tables are cut down by the broadcast rule rows first; only candidate sites and candidate argument
     values meet in the shuffled join on the site key.
     """
-    callees, conditions = rule_tables(call_sites.sparkSession, rules)
-    sites = match_rule_calls(call_sites, callees)
+    _, conditions = rule_tables(call_sites.sparkSession, rules)
+    sites = match_rule_calls(call_sites, rules)
     hits = arg_values.join(conditions, ["arg_idx", "kind", "value"]).select(
         "app_id", "site_id", "rule", "arg_idx"
     )
-    met = hits.groupBy("app_id", "site_id", "rule").agg(F.count_distinct("arg_idx").alias("n_met"))
+    # Different argument positions are counted as bits, which combine before the shuffle.
+    met = hits.groupBy("app_id", "site_id", "rule").agg(
+        F.bit_count(F.bit_or(F.expr("shiftleft(1L, arg_idx)"))).alias("n_met")
+    )
     return (
         sites.join(met, ["app_id", "site_id", "rule"], "left")
         .where(F.coalesce("n_met", F.lit(0)) == F.col("n_conditions"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from appfacts import constants as K
@@ -116,28 +116,37 @@ def provider_probe(code_units: DataFrame) -> DataFrame:
     return provider_apps(code_units).groupBy("probe").agg(F.count(F.lit(1)).alias("n_apps"))
 
 
+# A text can only match a family if it has one of these words; the test is far cheaper than the expression.
+LOGIN_WORDS = {
+    "sso": ["sso", "sign", "log", "regist"],
+    "oauth": ["oauth", "token"],
+    "oauth1": ["token", "veri", "pin"],
+    "oauth2_code": ["code"],
+}
+
+
 def login_strings(texts: DataFrame) -> DataFrame:
     """(family, app_id, unit_id, origin, match): strings about single sign-on and authorisation in each text."""
-    found = F.flatten(
-        F.array(
-            *[
-                F.transform(extract_all("text", p), _with_family(family))
-                for family, p in K.LOGIN_PATTERNS.items()
-            ]
-        )
-    )
-    return texts.select("app_id", "unit_id", "origin", F.explode(found).alias("x")).select(
-        "x.family", "app_id", "unit_id", "origin", "x.match"
-    )
 
+    def matches(family: str, pattern: str) -> Column:
+        found = F.transform(
+            extract_all("text", pattern), lambda m: F.struct(F.lit(family).alias("family"), m.alias("match"))
+        )
+        return F.when(contains_any("__lower", LOGIN_WORDS[family]), found).otherwise(
+            F.array().cast("array<struct<family:string,match:string>>")
+        )
 
-def _with_family(family: str):
-    return lambda m: F.struct(F.lit(family).alias("family"), m.alias("match"))
+    found = F.flatten(F.array(*[matches(family, p) for family, p in K.LOGIN_PATTERNS.items()]))
+    return (
+        texts.withColumn("__lower", F.lower("text"))
+        .select("app_id", "unit_id", "origin", F.explode(found).alias("x"))
+        .select("x.family", "app_id", "unit_id", "origin", "x.match")
+    )
 
 
 def login_string_counts(texts: DataFrame) -> DataFrame:
     """Per family and origin: apps, units and different strings."""
-    found = login_strings(texts)
+    found = cut_lineage(login_strings(texts))  # read by three aggregations
     keys = ["family", "origin"]
     apps = found.select(*keys, "app_id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_apps"))
     units = found.select(*keys, "app_id", "unit_id").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units"))

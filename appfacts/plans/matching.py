@@ -152,13 +152,10 @@ FROM q i JOIN xs x ON x.app_id = i.app_id WHERE {_MATCH_SQL}""",
 def matching_filters(f):
     """Requests and filters of the same app that fit, with the number of intents and components behind each."""
     m = M.match_filters(intents(f), filters(f))
-    n_intents = m.intents.groupBy("app_id", "request_id").agg(F.count(F.lit(1)).alias("n_intents"))
     n_components = m.components.groupBy("app_id", "shape_id").agg(F.count(F.lit(1)).alias("n_components"))
-    content = _content_columns(M.with_request_id(intents(f)).dropDuplicates(["request_id"]))
     return (
-        m.pairs.join(n_intents, ["app_id", "request_id"])
+        m.pairs.join(_content_columns(m.requests), ["app_id", "request_id"])
         .join(n_components, ["app_id", "shape_id"])
-        .join(content.drop("app_id"), "request_id")
         .join(_shape_texts(f), "shape_id")
         .select("app_id", "action", "category", "u_scheme", "u_host", "u_path", "mime", "filter_text", "n_intents", "n_components")
     )

@@ -2,7 +2,6 @@
 
 import hashlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from appfacts.functions import text as X
@@ -14,101 +13,108 @@ def data(schemes=(), authorities=(), paths=(), prefixes=(), patterns=(), mimes=(
     return (list(schemes), list(authorities), list(paths), list(prefixes), list(patterns), list(mimes))
 
 
+def table(spark, cases, column, schema):
+    """Value of ``column`` for every case (the last item of a case is what is expected)."""
+    rows = [(i, *case[:-1]) for i, case in enumerate(cases)]
+    df = spark.createDataFrame(rows, "id int, " + schema)
+    got = {r["id"]: r["v"] for r in df.select("id", column.alias("v")).collect()}
+    return [(case, got[i]) for i, case in enumerate(cases)]
+
+
 def one(spark, column, schema="x int", row=(1,)):
     return spark.createDataFrame([row], schema).select(column.alias("v")).first()["v"]
 
 
-@pytest.mark.parametrize(
-    "uri, expected",
-    [
-        ("tel:1", ("tel", None, None, None)),
-        ("http:", ("http", None, None, None)),
-        ("http://h:80/p", ("http", "h", "80", "/p")),
-        ("http://h/p?q=a b", ("http", "h", None, "/p")),
-        ("http://h", ("http", "h", None, None)),
-        ("file:///x", ("file", None, None, None)),
-        ("abc", (None, None, None, None)),
-        ("http:// bad^", (None, None, None, None)),
-        ("content://a/b%20c", ("content", "a", None, "/b c")),
-        (None, (None, None, None, None)),
-    ],
-)
-def test_parse_intent_uri(spark, uri, expected):
-    got = one(spark, X.parse_intent_uri("u"), "u string", (uri,))
-    assert (got["scheme"], got["host"], got["port"], got["path"]) == expected
-
-
-@pytest.mark.parametrize(
-    "mimes, mime, expected",
-    [
-        ([], None, True),
-        ([], "text/plain", False),
-        (["text/*"], "text/plain", True),
-        (["text/plain"], "text/*", True),
-        (["*/*"], "text/plain", False),
-        (["*/*"], "*/png", True),
-        (["text/plain"], None, False),
-        (["image/png", "text/plain"], "image/png", True),
-        (["text"], "text", False),
-        (["te*t/x"], "te*t/x", False),
-    ],
-)
-def test_mime_matches(spark, mimes, mime, expected):
-    assert one(spark, X.mime_matches("ts", "m"), "ts array<string>, m string", (mimes, mime)) is expected
+URIS = [
+    ("tel:1", ("tel", None, None, None)),
+    ("http:", ("http", None, None, None)),
+    ("http://h:80/p", ("http", "h", "80", "/p")),
+    ("http://h/p?q=a b", ("http", "h", None, "/p")),
+    ("http://h", ("http", "h", None, None)),
+    ("file:///x", ("file", None, None, None)),
+    ("abc", (None, None, None, None)),
+    ("http:// bad^", (None, None, None, None)),
+    ("content://a/b%20c", ("content", "a", None, "/b c")),
+    (None, (None, None, None, None)),
+]
+
+
+def test_parse_intent_uri(spark):
+    for case, got in table(spark, URIS, X.parse_intent_uri("u"), "u string"):
+        assert (got["scheme"], got["host"], got["port"], got["path"]) == case[-1], case
+
+
+MIMES = [
+    ([], None, True),
+    ([], "text/plain", False),
+    (["text/*"], "text/plain", True),
+    (["text/plain"], "text/*", True),
+    (["*/*"], "text/plain", False),
+    (["*/*"], "*/png", True),
+    (["text/plain"], None, False),
+    (["image/png", "text/plain"], "image/png", True),
+    (["text"], "text", False),
+    (["te*t/x"], "te*t/x", False),
+]
+
+
+def test_mime_matches(spark):
+    for case, got in table(spark, MIMES, X.mime_matches("ts", "m"), "ts array<string>, m string"):
+        assert got is case[-1], case
 
 
 U = "struct<scheme:string,host:string,port:string,path:string>"
 
 
-@pytest.mark.parametrize(
-    "d, uri, mime, expected",
-    [
-        (data(), None, None, True),
-        (data(), ("content", None, None, None), None, True),
-        (data(), ("file", None, None, "/x"), None, True),
-        (data(), ("http", "h", None, None), None, False),
-        (data(), (None, None, None, None), None, True),
-        (data(schemes=["http"]), None, None, False),
-        (data(schemes=["http"]), ("http", "h", None, None), None, True),
-        (data(schemes=["http"]), ("https", "h", None, None), None, False),
-        (data(schemes=["http"], authorities=[("h", None)]), ("http", "h", "80", None), None, True),
-        (data(schemes=["http"], authorities=[("h", "80")]), ("http", "h", "80", None), None, True),
-        (data(schemes=["http"], authorities=[("h", "80")]), ("http", "h", None, None), None, False),
-        (data(schemes=["http"], authorities=[("h", None)]), ("http", "g", None, None), None, False),
+FILTER_DATA = [
+    (data(), None, None, True),
+    (data(), ("content", None, None, None), None, True),
+    (data(), ("file", None, None, "/x"), None, True),
+    (data(), ("http", "h", None, None), None, False),
+    (data(), (None, None, None, None), None, True),
+    (data(schemes=["http"]), None, None, False),
+    (data(schemes=["http"]), ("http", "h", None, None), None, True),
+    (data(schemes=["http"]), ("https", "h", None, None), None, False),
+    (data(schemes=["http"], authorities=[("h", None)]), ("http", "h", "80", None), None, True),
+    (data(schemes=["http"], authorities=[("h", "80")]), ("http", "h", "80", None), None, True),
+    (data(schemes=["http"], authorities=[("h", "80")]), ("http", "h", None, None), None, False),
+    (data(schemes=["http"], authorities=[("h", None)]), ("http", "g", None, None), None, False),
         # Paths only count next to a host.
-        (data(schemes=["http"], paths=["/a"]), ("http", "h", None, "/ab"), None, True),
-        (data(schemes=["http"], authorities=[("h", None)], paths=["/a"]), ("http", "h", None, "/a"), None, True),
-        (data(schemes=["http"], authorities=[("h", None)], paths=["/a"]), ("http", "h", None, "/ab"), None, False),
-        (data(schemes=["http"], authorities=[("h", None)], prefixes=["/a"]), ("http", "h", None, "/ab"), None, True),
-        (data(schemes=["http"], authorities=[("h", None)], patterns=["/a.*c"]), ("http", "h", None, "/abc"), None, True),
-        (data(schemes=["http"], authorities=[("h", None)], patterns=["/a"]), ("http", "h", None, "/ab"), None, False),
-        (data(schemes=["http"], authorities=[("h", None)], patterns=["/.*\\\\.pdf"]), ("http", "h", None, "/x.pdf"), None, True),
-        (data(schemes=["http"], authorities=[("h", None)], patterns=["/.*\\\\.pdf"]), ("http", "h", None, "/xpdf"), None, False),
+    (data(schemes=["http"], paths=["/a"]), ("http", "h", None, "/ab"), None, True),
+    (data(schemes=["http"], authorities=[("h", None)], paths=["/a"]), ("http", "h", None, "/a"), None, True),
+    (data(schemes=["http"], authorities=[("h", None)], paths=["/a"]), ("http", "h", None, "/ab"), None, False),
+    (data(schemes=["http"], authorities=[("h", None)], prefixes=["/a"]), ("http", "h", None, "/ab"), None, True),
+    (data(schemes=["http"], authorities=[("h", None)], patterns=["/a.*c"]), ("http", "h", None, "/abc"), None, True),
+    (data(schemes=["http"], authorities=[("h", None)], patterns=["/a"]), ("http", "h", None, "/ab"), None, False),
+    (data(schemes=["http"], authorities=[("h", None)], patterns=["/.*\\\\.pdf"]), ("http", "h", None, "/x.pdf"), None, True),
+    (data(schemes=["http"], authorities=[("h", None)], patterns=["/.*\\\\.pdf"]), ("http", "h", None, "/xpdf"), None, False),
         # Broken expressions match nothing and do not fail the job.
-        (data(schemes=["http"], authorities=[("h", None)], patterns=["*.pdf", "(", "[a", "a**"]), ("http", "h", None, "/x.pdf"), None, False),
-        (data(schemes=["http"], authorities=[("h", None)], paths=["/a"]), ("http", "h", None, None), None, False),
-        (data(mimes=["text/*"]), None, "text/plain", True),
-        (data(mimes=["text/*"]), None, None, False),
-        (data(), None, "text/plain", False),
-    ],
-)
-def test_data_matches(spark, d, uri, mime, expected):
-    got = one(spark, X.data_matches("d", F.col("u"), F.col("m")), f"d {DATA}, u {U}, m string", (d, uri, mime))
-    assert got is expected
-
-
-@pytest.mark.parametrize(
-    "name, package, expected",
-    [
-        (".A", "p.q", "p.q.A"),
-        ("A", "p.q", "p.q.A"),
-        ("a", "p.q", "p.q.a"),
-        ("a.B", "p.q", "a.B"),
-        ("a", "", "a"),
-    ],
-)
-def test_qualify_component_name(spark, name, package, expected):
-    assert one(spark, X.qualify_component_name("n", "p"), "n string, p string", (name, package)) == expected
+    (data(schemes=["http"], authorities=[("h", None)], patterns=["*.pdf", "(", "[a", "a**"]), ("http", "h", None, "/x.pdf"), None, False),
+    (data(schemes=["http"], authorities=[("h", None)], paths=["/a"]), ("http", "h", None, None), None, False),
+    (data(mimes=["text/*"]), None, "text/plain", True),
+    (data(mimes=["text/*"]), None, None, False),
+    (data(), None, "text/plain", False),
+]
+
+
+def test_data_matches(spark):
+    column = X.data_matches("d", F.col("u"), F.col("m"))
+    for case, got in table(spark, FILTER_DATA, column, f"d {DATA}, u {U}, m string"):
+        assert got is case[-1], case
+
+
+NAMES = [
+    (".A", "p.q", "p.q.A"),
+    ("A", "p.q", "p.q.A"),
+    ("a", "p.q", "p.q.a"),
+    ("a.B", "p.q", "a.B"),
+    ("a", "", "a"),
+]
+
+
+def test_qualify_component_name(spark):
+    for case, got in table(spark, NAMES, X.qualify_component_name("n", F.col("p")), "n string, p string"):
+        assert got == case[-1], case
 
 
 def test_signatures(spark):
@@ -134,15 +140,18 @@ def test_literals(spark):
     assert sorted(got["classes"]) == ["a.B", "x.Y"] and got["names"] == ["m"]
 
 
-@pytest.mark.parametrize("source", ["API_SOURCE", "CALLBACK_SOURCE", "ICC_SOURCE", "STMT_SOURCE"])
-@pytest.mark.parametrize("sink", ["API_SINK", "ICC_SINK", "STMT_SINK"])
-def test_problem_category(spark, source, sink):
-    data_side = source in ("API_SOURCE", "CALLBACK_SOURCE")
-    expected = {
-        "API_SINK": "information_theft" if data_side else "capability_leak",
-        "ICC_SINK": "information_leak" if data_side else "confused_deputy",
-    }.get(sink)
-    assert one(spark, X.problem_category("s", "k"), "s string, k string", (source, sink)) == expected
+def test_problem_category(spark):
+    data_problem = {"API_SINK": "information_theft", "ICC_SINK": "information_leak", "STMT_SINK": None}
+    control_problem = {"API_SINK": "capability_leak", "ICC_SINK": "confused_deputy", "STMT_SINK": None}
+    cases = [
+        (source, sink, problems[sink])
+        for source, problems in (
+            ("API_SOURCE", data_problem), ("CALLBACK_SOURCE", data_problem), ("ICC_SOURCE", control_problem), ("STMT_SOURCE", control_problem),
+        )
+        for sink in problems
+    ]
+    for case, got in table(spark, cases, X.problem_category("s", "k"), "s string, k string"):
+        assert got == case[-1], case
 
 
 def test_counts_and_urls(spark):
