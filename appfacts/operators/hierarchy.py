@@ -1,16 +1,19 @@
 """Class hierarchy: ancestors, overriding methods, callbacks.
 
-``supers`` is the edge table (class_id, super_id) of direct super classes and interfaces.  A hierarchy may be shared
-by all apps (``scope=[]``) or kept per app.
+``supers`` is the edge table (class_id, super_id) of direct super classes and interfaces.  Class ids are unique over all
+apps; ``ancestors`` also takes a scope where they are not.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from appfacts import constants as K
 from appfacts.functions.text import parameter_types, signature_parts
+from appfacts.operators.skew import skew_join
 from appfacts.session import cut_lineage, local_table
 
 
@@ -93,7 +96,8 @@ def match_by_subtype(calls: DataFrame, ancestor_names: DataFrame, ss_list: DataF
         .join(listed, ["ancestor_name", "sub_sig"])
         .drop("class_name", "ancestor_name", "sub_sig")
     )
-    return calls.join(matched, "callee_sig")
+    # One callee may be called by a large share of all calls.
+    return skew_join(calls, matched, ["callee_sig"])
 
 
 def merge_tags(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,51 +124,63 @@ def _platform(name: str):
 def override_callbacks(reachable: DataFrame, classes: DataFrame, ancestor_rows: DataFrame, methods: DataFrame) -> DataFrame:
     """(component, class_id, sub_sig): platform methods that an app class overrides and that are no lifecycle methods.
 
-    ``reachable`` has component and class_id of every class with a reachable method.  For each concrete one, the
-    methods of its platform ancestors are looked up among its sub-classes' instance methods; which methods count as
-    lifecycle depends on the component class among the ancestors.
+    ``reachable`` has component and class_id of every class with a reachable method.  The instance methods of app
+    classes are looked up on their way up: at the concrete reachable classes first, then at the platform ancestors of
+    those.  So the work grows with the methods times the height of the hierarchy, not with the size of a platform
+    class times its sub-classes.  Which methods count as lifecycle depends on the component class among the ancestors.
     """
-    concrete = classes.where("is_concrete").select("class_id")
-    bases = reachable.join(concrete, "class_id", "left_semi").select("component", "class_id").distinct()
-    up = bases.select("class_id").distinct().join(ancestor_rows.where(F.col("depth") > 0), "class_id")
-    above = up.join(classes.select(F.col("class_id").alias("ancestor_id"), F.col("class_name").alias("ancestor_name")), "ancestor_id")
-    kinds = local_table(classes.sparkSession, list(K.COMPONENT_BASE_CLASSES.items()), "ancestor_name string, kind string")
-    lifecycle = local_table(
-        classes.sparkSession,
-        [(kind, s) for kind, subs in K.LIFECYCLE_SUBSIGS.items() for s in subs],
-        "kind string, sub_sig string",
+    bases = reachable.select("component", "class_id").distinct().join(
+        classes.where("is_concrete").select("class_id"), "class_id", "left_semi"
+    ).withColumnRenamed("class_id", "base_id")
+    base_ids = bases.select("base_id").distinct()
+    app_classes = classes.where(~_platform("class_name")).select("class_id")
+    platform = classes.where(F.col("class_name").startswith("android.")).select(F.col("class_id").alias("ancestor_id"))
+
+    # (class, method) of app classes with every reachable concrete class at or above the class
+    own = methods.where(~F.col("is_static")).select("class_id", "sub_sig").join(app_classes, "class_id", "left_semi")
+    up = ancestor_rows.select("class_id", F.col("ancestor_id").alias("base_id")).join(base_ids, "base_id", "left_semi")
+    at_base = own.join(up, "class_id")
+
+    # (base, method) with a platform ancestor of the base that declares the method
+    above = ancestor_rows.where(F.col("depth") > 0).select(F.col("class_id").alias("base_id"), "ancestor_id").join(
+        base_ids, "base_id", "left_semi"
     )
-    base_kind = above.join(kinds, "ancestor_name").groupBy("class_id").agg(F.min("kind").alias("kind"))
-    own = methods.withColumn("is_constructor", F.col("sub_sig").startswith("<init>"))
-    system = (
-        above.where(F.col("ancestor_name").startswith("android."))
-        .select("class_id", "ancestor_id")
-        .join(own.where(~F.col("is_constructor")).select(F.col("class_id").alias("ancestor_id"), "sub_sig"), "ancestor_id")
-        .select("class_id", "sub_sig")
+    declared = methods.where(~F.col("sub_sig").startswith("<init>")).select(F.col("class_id").alias("ancestor_id"), "sub_sig")
+    overridden = (
+        at_base.select("base_id", "sub_sig").distinct()
+        .join(above.join(platform, "ancestor_id", "left_semi"), "base_id")
+        .join(declared, ["ancestor_id", "sub_sig"], "left_semi")
+        .select("base_id", "sub_sig")
         .distinct()
     )
-    callbacks = (
-        system.join(base_kind, "class_id", "left")
-        .join(lifecycle, ["kind", "sub_sig"], "left_anti")
-        .select(F.col("class_id").alias("ancestor_id"), "sub_sig")
-    )
-    app_methods = own.where(~F.col("is_static")).join(
-        classes.where(~_platform("class_name")).select("class_id"), "class_id", "left_semi"
-    )
-    found = (
-        app_methods.select("class_id", "sub_sig")
-        .join(ancestor_rows.select("class_id", "ancestor_id"), "class_id")
-        .join(callbacks, ["ancestor_id", "sub_sig"])
-        .select("ancestor_id", "class_id", "sub_sig")
-        .distinct()
-    )
-    return (
-        bases.withColumnRenamed("class_id", "ancestor_id").join(found, "ancestor_id").select("component", "class_id", "sub_sig").distinct()
+    spark = classes.sparkSession
+    kinds = local_table(spark, list(K.COMPONENT_BASE_CLASSES.items()), "class_name string, kind string")
+    lifecycle = local_table(
+        spark, [(kind, s) for kind, subs in K.LIFECYCLE_SUBSIGS.items() for s in subs], "kind string, sub_sig string"
     )
+    roots = classes.join(kinds, "class_name").select(F.col("class_id").alias("ancestor_id"), "kind")
+    base_kind = above.join(roots, "ancestor_id").groupBy("base_id").agg(F.min("kind").alias("kind"))
+    callbacks = overridden.join(base_kind, "base_id", "left").join(lifecycle, ["kind", "sub_sig"], "left_anti")
+    found = at_base.join(callbacks.select("base_id", "sub_sig"), ["base_id", "sub_sig"], "left_semi")
+    return bases.join(found, "base_id").select("component", "class_id", "sub_sig").distinct()
 
 
-def registration_callbacks(calls: DataFrame, classes: DataFrame, ancestor_rows: DataFrame, methods: DataFrame) -> DataFrame:
-    """(component, class_id, declaring_id, sub_sig): listener methods a registered listener may be called back with.
+class RegistrationCallbacks(NamedTuple):
+    """``uses``: (component, listener_id) of the listener types a component registers; ``callbacks``: (listener_id,
+    class_id, declaring_id, sub_sig) of the methods such a listener may be called back with."""
+
+    uses: DataFrame
+    callbacks: DataFrame
+
+    def expand(self) -> DataFrame:
+        """Callbacks per component; select the components of interest first."""
+        return self.uses.join(self.callbacks, "listener_id").select("component", "class_id", "declaring_id", "sub_sig").distinct()
+
+
+def registration_callbacks(
+    calls: DataFrame, classes: DataFrame, ancestor_rows: DataFrame, methods: DataFrame
+) -> RegistrationCallbacks:
+    """Callback methods of listeners that reachable app code registers.
 
     ``calls`` are reachable calls from app code with component and callee_sig.  A parameter (or array element) of a
     known listener type stands for every concrete app class below it; the methods of each known listener interface
@@ -172,19 +188,19 @@ def registration_callbacks(calls: DataFrame, classes: DataFrame, ancestor_rows:
     """
     listeners = local_table(classes.sparkSession, [(t,) for t in sorted(set(K.LISTENER_TYPES))], "class_name string")
     bases = F.transform(parameter_types("callee_sig"), lambda t: F.regexp_replace(t, r"(\[\])+$", ""))
-    used = (
+    ids = classes.select("class_id", "class_name")
+    uses = (
         calls.select("component", "callee_sig").distinct()
         .select("component", F.explode(bases).alias("class_name")).distinct()
         .join(listeners, "class_name")
+        .join(ids, "class_name")
+        .select("component", F.col("class_id").alias("listener_id"))
     )
-    ids = classes.select("class_id", "class_name")
-    roots = used.join(ids, "class_name").select("component", F.col("class_id").alias("ancestor_id"))
     app = classes.where("is_concrete").where(~_platform("class_name") & ~F.col("class_name").startswith("java."))
     below = (
-        ancestor_rows.join(app.select("class_id"), "class_id", "left_semi")
-        .join(roots, "ancestor_id")
-        .select("component", "class_id")
-        .distinct()
+        ancestor_rows.select("class_id", F.col("ancestor_id").alias("listener_id"))
+        .join(uses.select("listener_id").distinct(), "listener_id", "left_semi")
+        .join(app.select("class_id"), "class_id", "left_semi")
     )
     interfaces = ids.join(listeners, "class_name").join(
         classes.where("is_interface").select("class_id"), "class_id", "left_semi"
@@ -192,17 +208,16 @@ def registration_callbacks(calls: DataFrame, classes: DataFrame, ancestor_rows:
     wanted = (
         below.select("class_id").distinct()
         .join(ancestor_rows, "class_id")
-        .join(interfaces, "ancestor_id")
+        .join(interfaces, "ancestor_id", "left_semi")
         .join(methods.select(F.col("class_id").alias("ancestor_id"), "sub_sig"), "ancestor_id")
         .select("class_id", "sub_sig")
         .distinct()
     )
     # The first class on the way up that declares the method; one of a platform class is no callback.
-    app_or_any = nearest_ancestor(ancestor_rows, methods, wanted, "sub_sig")
+    nearest = nearest_ancestor(ancestor_rows, methods, wanted, "sub_sig")
     not_platform = ids.where(~F.col("class_name").startswith("android.")).select(F.col("class_id").alias("declaring_id"))
-    return below.join(app_or_any, "class_id").join(not_platform, "declaring_id", "left_semi").select(
-        "component", "class_id", "declaring_id", "sub_sig"
-    )
+    callbacks = below.join(nearest.join(not_platform, "declaring_id", "left_semi"), "class_id")
+    return RegistrationCallbacks(uses, callbacks.select("listener_id", "class_id", "declaring_id", "sub_sig"))
 
 
 def class_layouts(call_sites: DataFrame, arg_values: DataFrame) -> DataFrame:

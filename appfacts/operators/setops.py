@@ -78,23 +78,22 @@ PIECE_LENGTHS = [32, 16, 8, 4, 2, 1]
 
 
 def contained_in(needles: DataFrame, needle: str, entries: DataFrame, entry: str) -> DataFrame:
-    """(needle, entry) pairs with the needle inside the entry, as an equality join on a piece of the needle.
+    """(needle, entry) pairs with the needle inside the entry, by equality joins only.
 
-    A needle is looked up by its last 32 (16, 8, …) characters among all pieces of that length of the entries; only
-    the pairs that share a piece are compared.
+    A needle is looked up by its last 32 (16, 8, …) characters among all pieces of that length of the entries.  Where
+    a piece occurs, the entry's text before it is cut to each length that needles with this piece have, and the cut
+    text must equal a needle.  A piece shared by many needles and many entries therefore makes no pairs of its own.
     """
-    n = F.col(needle)
+    n, e = F.col(needle), F.col(entry)
     length = F.lit(PIECE_LENGTHS[-1])
     for p in reversed(PIECE_LENGTHS):
         length = F.when(F.length(n) >= p, F.lit(p)).otherwise(length)
-    keyed = (
-        needles.select(needle)
-        .where(F.length(n) > 0)
+    wanted = needles.select(needle).where(F.length(n) > 0).distinct()
+    lengths = (
+        wanted.withColumn("__len", length)
+        .select("__len", F.right(n, F.col("__len")).alias("__piece"), F.length(n).alias("__n"))
         .distinct()
-        .withColumn("__len", length)
-        .withColumn("__piece", F.right(n, F.col("__len")))
     )
-    e = F.col(entry)
     pieces = (
         entries.select(entry)
         .where(e.isNotNull())
@@ -102,10 +101,16 @@ def contained_in(needles: DataFrame, needle: str, entries: DataFrame, entry: str
         .withColumn("__len", F.explode(F.array(*[F.lit(p) for p in PIECE_LENGTHS])))
         .where(F.length(e) >= F.col("__len"))
         .withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(e) - F.col("__len") + 1)))
-        .select(entry, "__len", F.substring(e, F.col("__at"), F.col("__len")).alias("__piece"))
+        .withColumn("__piece", F.substring(e, F.col("__at"), F.col("__len")))
+    )
+    start = F.col("__at") + F.col("__len") - F.col("__n")
+    cut = (
+        pieces.join(lengths, ["__len", "__piece"])
+        .where(start >= 1)
+        .select(entry, F.substring(e, start, F.col("__n")).alias("__text"))
         .distinct()
     )
-    return keyed.join(pieces, ["__len", "__piece"]).where(F.contains(e, n)).select(needle, entry).distinct()
+    return cut.join(wanted.withColumn("__text", n), "__text").select(needle, entry)
 
 
 def url_permission_join(app_urls: DataFrame, url_lists: DataFrame) -> DataFrame:

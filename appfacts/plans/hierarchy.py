@@ -147,24 +147,37 @@ def override_callbacks(f):
     return H.override_callbacks(reach, classes, anc, f["fx_listener_methods"])
 
 
+_USES_SQL = """
+u AS (SELECT DISTINCT component_id AS component, CASE WHEN contains(callee_sig, 'setOnClick') THEN 0 WHEN contains(callee_sig, 'LocationListener') THEN 1 ELSE 2 END AS listener_id
+  FROM fx_listener_calls WHERE NOT contains(callee_sig, 'String'))"""
+
+
+def registrations(f):
+    classes, anc = listener_tree(f)
+    calls = f["fx_listener_calls"].withColumnRenamed("component_id", "component")
+    return H.registration_callbacks(calls, classes, anc, f["fx_listener_methods"])
+
+
 @query(
     "e16_registration_callbacks",
-    f"""{_LANC_SQL},
-u AS (SELECT DISTINCT component_id AS component, CASE WHEN contains(callee_sig, 'setOnClick') THEN 0 WHEN contains(callee_sig, 'LocationListener') THEN 1 ELSE 2 END AS root
-  FROM fx_listener_calls WHERE NOT contains(callee_sig, 'String')),
-below AS (SELECT DISTINCT u.component, a.class_id FROM u JOIN anc a ON a.ancestor_id = u.root JOIN fx_listener_classes c ON c.class_id = a.class_id
+    f"""{_LANC_SQL}, {_USES_SQL.strip()},
+below AS (SELECT DISTINCT u.listener_id, a.class_id FROM u JOIN anc a ON a.ancestor_id = u.listener_id JOIN fx_listener_classes c ON c.class_id = a.class_id
   WHERE c.is_concrete AND NOT starts_with(c.class_name, 'android.')),
 w AS (SELECT DISTINCT a.class_id, m.sub_sig FROM anc a JOIN fx_listener_classes c ON c.class_id = a.ancestor_id AND c.is_interface
   JOIN fx_listener_methods m ON m.class_id = a.ancestor_id WHERE a.class_id IN (SELECT class_id FROM below)),
 d AS (SELECT w.class_id, w.sub_sig, min_by(a.ancestor_id, a.depth * CAST(1000000000 AS BIGINT) + a.ancestor_id) AS declaring_id FROM w JOIN anc a USING (class_id)
   JOIN fx_listener_methods m ON m.class_id = a.ancestor_id AND m.sub_sig = w.sub_sig GROUP BY 1, 2)
-SELECT below.component, d.class_id, d.declaring_id, d.sub_sig FROM below JOIN d USING (class_id)
+SELECT below.listener_id, d.class_id, d.declaring_id, d.sub_sig FROM below JOIN d USING (class_id)
 JOIN fx_listener_classes c ON c.class_id = d.declaring_id WHERE NOT starts_with(c.class_name, 'android.')""",
 )
 def registration_callbacks(f):
-    classes, anc = listener_tree(f)
-    calls = f["fx_listener_calls"].withColumnRenamed("component_id", "component")
-    return H.registration_callbacks(calls, classes, anc, f["fx_listener_methods"])
+    """Callback methods per registered listener type."""
+    return registrations(f).callbacks
+
+
+@query("e16_registered_listeners", f"WITH {_USES_SQL.strip()} SELECT component, listener_id FROM u")
+def registered_listeners(f):
+    return registrations(f).uses
 
 
 _LAYOUT_SQL = """SELECT DISTINCT class_id, CAST(value AS BIGINT) AS layout_id FROM fx_layout_calls
