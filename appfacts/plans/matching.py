@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from appfacts.functions.text import parse_intent_uri
+from appfacts.functions.text import data_matches, parse_intent_uri
 from appfacts.operators import matching as M
 from appfacts.operators import studies as S
 from appfacts.plans.registry import query
@@ -139,6 +139,25 @@ def intent_uris(f):
     )
 
 
+@query(
+    "d4_data_matches",
+    f"""{_BASE_SQL}
+SELECT i.intent_id, x.filter_id, CASE WHEN i.uri IS NULL THEN x.scheme IS NULL
+    WHEN x.scheme IS NULL THEN i.u_scheme IS NULL OR i.u_scheme IN ('content', 'file')
+    WHEN i.u_scheme IS DISTINCT FROM x.scheme THEN false WHEN x.host IS NULL THEN true WHEN x.host IS DISTINCT FROM i.u_host THEN false
+    WHEN x.path_prefix IS NULL THEN true WHEN i.u_path IS NULL THEN false ELSE starts_with(i.u_path, x.path_prefix) END
+  AND CASE WHEN x.mime IS NULL THEN i.mime IS NULL WHEN i.mime IS NULL THEN false
+    ELSE split_part(x.mime, '/', 1) = split_part(i.mime, '/', 1) AND (split_part(x.mime, '/', 2) = split_part(i.mime, '/', 2) OR split_part(x.mime, '/', 2) = '*') END AS ok
+FROM iu i JOIN xf x ON x.component_id = i.app_id * 20 + i.intent_id % 20""",
+)
+def data_matches_rows(f):
+    """Each intent's data against the filter of the component that sends it."""
+    i = intents(f).select("app_id", "component", "intent_id", _one("uris").alias("uri"), _one("mimes").alias("mime"))
+    return i.join(filters(f).select("app_id", "component", "filter_id", "data"), ["app_id", "component"]).select(
+        "intent_id", "filter_id", data_matches("data", F.col("uri"), F.col("mime")).alias("ok")
+    )
+
+
 @query(
     "e1_matching_filters",
     f"""{_BASE_SQL},
