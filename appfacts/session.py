@@ -46,6 +46,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def sized_broadcast(written: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint for a checkpointed table of ``rows`` rows of a few ids, while it is small."""
+    return F.broadcast(written) if rows <= BROADCAST_ROWS else written
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Table of values known on the driver (constants, rules).  Arrow keeps it a local relation: no job reads it."""
     fields = T.StructType.fromDDL(schema)
