@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from appfacts import constants as K
 from appfacts.functions.text import extract_urls, url_host
+from appfacts.operators.skew import skew_join
 
 
 def corpus_diff(usage_a: DataFrame, usage_b: DataFrame, side_a: str = "a", side_b: str = "b") -> DataFrame:
@@ -123,7 +124,8 @@ def url_permission_join(app_urls: DataFrame, url_lists: DataFrame) -> DataFrame:
         contained_in(urls, "url", url_lists, "entry").join(url_lists, "entry").select("list_name", "url").distinct()
     )
     n_urls = urls.groupBy("app_id").agg(F.count(F.lit(1)).alias("n_urls"))
-    n_listed = urls.join(listed, "url").groupBy("app_id", "list_name").agg(F.count(F.lit(1)).alias("n_listed"))
+    # One URL may occur in a large share of the apps.
+    n_listed = skew_join(urls, listed, ["url"]).groupBy("app_id", "list_name").agg(F.count(F.lit(1)).alias("n_listed"))
     return n_listed.join(n_urls, "app_id").select("app_id", "list_name", "n_urls", "n_listed")
 
 
