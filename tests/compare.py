@@ -44,6 +44,8 @@ def norm(v):
         return round(v, 9)
     if isinstance(v, bytearray):
         return bytes(v)
+    if isinstance(v, list):
+        return tuple(norm(x) for x in v)
     return v
 
 
