@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from appfacts.llm.tables import sliced
+from appfacts.llm.tables import sliced, workers_import
 
 ROW_IDS = 2048
 #: Ids packed together; more gives fuller rows and takes more memory.
@@ -168,6 +168,7 @@ def pack_documents(
         if docs:
             yield from out()
 
+    workers_import(documents.sparkSession)
     return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 

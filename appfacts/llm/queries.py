@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from appfacts.llm.jaccard_trie import jaccard_components
 from appfacts.llm.licenses import scan_licenses
 from appfacts.llm.packing import pack_documents
 from appfacts.llm.pieces import digest_documents
+from appfacts.llm.suffix_dedup import digest_repeats
 from appfacts.llm.tables import read
 from appfacts.llm.url_rules import BASE_RULES, WORD_RULES, judge_urls
 
@@ -33,6 +35,12 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
+@query
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without strings of 100 bytes that stood earlier."""
+    return digest_repeats(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the address of every page."""
@@ -79,3 +87,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the piece ids and of the decoded text of every document."""
     return digest_documents(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op10_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document under links between similar sets of five-word shingles."""
+    return jaccard_components(read(spark, sf_dir, "documents"))

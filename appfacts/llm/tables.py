@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from appfacts.session import ensure_checkpoint_dir
+
 #: Bytes of text that a Python stage holds at a time, besides one row.
 BATCH_BYTES = 8 << 20
 
@@ -29,6 +33,12 @@ def sliced(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Itera
             yield batch.slice(at, each)
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers find this package where it isn't installed (a checkout, with the driver elsewhere)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``fn`` over Arrow batches of bounded bytes; it may return none for a batch without output."""
 
@@ -37,4 +47,43 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
+    workers_import(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared checkpoint folder: computed once, and not lost with an executor.
+
+    Unlike a checkpoint it is compressed and read by column.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+#: Words of 64 bits of a row filter: a megabyte, whatever the table's size.
+FILTER_WORDS = 1 << 17
+
+
+def bit_filter(df: DataFrame, wanted: DataFrame, on: list[str], both: bool = False):
+    """Rows of ``df`` that may have a partner in ``wanted``, and if ``both``, also those that surely have none.
+
+    A bit for each hash value, FILTER_WORDS words in all, so the broadcast has a fixed bound.  With more partners than
+    bits the filter lets everything pass and saves nothing; results don't depend on it.
+    """
+    spot = F.pmod(F.xxhash64(*on), F.lit(FILTER_WORDS * 64))
+    bits = F.broadcast(
+        wanted.select(spot.alias("__spot"))
+        .groupBy(F.shiftright("__spot", 6).alias("__word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(__spot & 63 as int))")).alias("__bits"))
+    )
+    marked = (
+        df.withColumn("__spot", spot)
+        .withColumn("__word", F.shiftright("__spot", 6))
+        .join(bits, "__word", "left")
+        .withColumn("__hit", F.expr("coalesce(shiftright(__bits, cast(__spot & 63 as int)) & 1, 0) = 1"))
+    )
+    hit, miss = (marked.where(c).drop("__spot", "__word", "__bits", "__hit") for c in ("__hit", "not __hit"))
+    return (hit, miss) if both else hit
