@@ -78,17 +78,20 @@ def _hash_words(buf: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return starts, np.empty(0, np.uint64)
     values = BYTE_VALUES[buf]
     values[~is_word] = 0
-    within = np.arange(len(buf)) - np.repeat(starts, np.diff(starts, append=len(buf)))[: len(buf)] if starts[0] == 0 else (
-        np.arange(len(buf)) - np.concatenate((np.zeros(starts[0], np.int64), np.repeat(starts, np.diff(starts, append=len(buf)))))
-    )
+    before = np.repeat(starts, np.diff(starts, append=len(buf)))
+    within = np.arange(len(buf)) - np.concatenate((np.zeros(starts[0], np.int64), before))
     longest = int((ends - starts).max())
     table = powers(_BASE, longest + 1)
     values *= table[np.minimum(within, longest)]
     return starts, mix(np.add.reduceat(values, starts))
 
 
-def word_hashes(texts: Sequence[str | None], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts in order, and where each text's words begin (one more entry).
+def word_hashes(
+    texts: Sequence[str | None], word: np.ndarray, fold: np.ndarray = LOWER
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and where each text's words begin (one more entry).
+
+    ``fold`` maps bytes (here to lower case) before ``word`` tells which belong to words.
 
     Memory is bounded by SLICE_BYTES and the words themselves, so one very long text is no special case.
     """
@@ -102,7 +105,7 @@ def word_hashes(texts: Sequence[str | None], word: np.ndarray) -> tuple[np.ndarr
         nonlocal size
         if not pending:
             return
-        buf = LOWER[np.frombuffer(b" ".join(pending) + b" ", np.uint8)]
+        buf = fold[np.frombuffer(b" ".join(pending) + b" ", np.uint8)]
         starts, hashes = _hash_words(buf, word)
         begins = np.concatenate(([0], np.cumsum([len(p) + 1 for p in pending])[:-1]))
         piece = np.searchsorted(begins, starts, "right") - 1
@@ -117,7 +120,7 @@ def word_hashes(texts: Sequence[str | None], word: np.ndarray) -> tuple[np.ndarr
             continue
         data = text.encode("utf-8", "surrogatepass")
         for part in _pieces(data, word) if len(data) > SLICE_BYTES else (data,):
-            pending.append(part)
+            pending.append(part)  # pieces are cut by the unfolded bytes; folding never joins what a cut parts
             owners.append(i)
             size += len(part)
             if size >= SLICE_BYTES:

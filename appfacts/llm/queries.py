@@ -12,6 +12,7 @@ from appfacts.llm.packing import pack_documents
 from appfacts.llm.pieces import digest_documents
 from appfacts.llm.suffix_dedup import digest_repeats
 from appfacts.llm.tables import read
+from appfacts.llm.toxicity import score_documents
 from appfacts.llm.url_rules import BASE_RULES, WORD_RULES, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases of every document."""
