@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from appfacts.llm.decontaminate import find_leaks
 from appfacts.llm.jaccard_trie import jaccard_components
 from appfacts.llm.licenses import scan_licenses
 from appfacts.llm.packing import pack_documents
@@ -90,6 +91,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the piece ids and of the decoded text of every document."""

@@ -33,6 +33,8 @@ FIT_ROWS = 30_000
 LEARNED_WORDS, LEARNED_Z, LEARNED_TEXTS = 300, 5.0, 8
 #: Folds of labelled rows: one is held out, one calibrates, the others fit lexicon and trees.
 FOLDS, HELD_OUT, CALIBRATE = 4, 2, 3
+#: Rows of each class that a calibration fold of its own needs; else all rows calibrate.
+CALIBRATE_ROWS = 30
 THRESHOLD = 0.3
 #: Words at this distance from a second-person word count 1/e.
 NEAR = 5.0
@@ -133,7 +135,7 @@ def fold(doc_id: Column) -> Column:
 
 
 class Scorer:
-    """Lexicon, trees and calibration; trees and calibration are none where labels don't show both classes."""
+    """Lexicon, trees and calibration; the latter are none where labels don't show both classes."""
 
     def __init__(self, learned: list[str], trees=None, calibration=None):
         self.learned, self.trees, self.calibration = learned, trees, calibration
@@ -145,8 +147,6 @@ class Scorer:
             return featured.select(*keep, F.least(F.lit(1.0), F.col("features")[0] * 20).alias("score"))
         margin = self.trees.transform(featured.select(*keep, array_to_vector("features").alias("features")))
         raw = margin.select(*keep, vector_to_array("probability")[1].alias("__raw"))
-        if self.calibration is None:
-            return raw.withColumnRenamed("__raw", "score")
         calibrated = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__score")))
         return self.calibration.transform(raw).select(*keep, calibrated.alias("score"))
 
@@ -193,14 +193,14 @@ def fit(documents: DataFrame, labels: DataFrame) -> Scorer:
     table = written(with_features(rows, learned, ["toxic", "fold"]))
     table = table.select("toxic", "fold", array_to_vector("features").alias("features"))
     fitting, calibrating = table.where(F.col("fold") != CALIBRATE), table.where(F.col("fold") == CALIBRATE)
-    classes = {(r.f, r.toxic) for r in table.select((F.col("fold") == CALIBRATE).alias("f"), "toxic").distinct().collect()}
-    if not {(False, 0.0), (False, 1.0)} <= classes:
+    counts = {(r.f, r.toxic): r["count"] for r in table.groupBy((F.col("fold") == CALIBRATE).alias("f"), "toxic").count().collect()}
+    if not {(False, 0.0), (False, 1.0)} <= counts.keys():
         return Scorer(learned)
     trees = GBTClassifier(
-        labelCol="toxic", featuresCol="features", maxDepth=3, maxIter=15, stepSize=0.3, maxBins=32, seed=7, minInstancesPerNode=5
+        labelCol="toxic", featuresCol="features", maxDepth=3, maxIter=15, stepSize=0.3, maxBins=32, seed=7, minInstancesPerNode=3
     ).fit(fitting)
-    if not {(True, 0.0), (True, 1.0)} <= classes:
-        return Scorer(learned, trees)
+    if min(counts.get((True, 0.0), 0), counts.get((True, 1.0), 0)) < CALIBRATE_ROWS:
+        calibrating = table  # too few for a fold of their own
     scored = trees.transform(calibrating).select("toxic", vector_to_array("probability")[1].alias("__raw"))
     calibration = IsotonicRegression(featuresCol="__raw", labelCol="toxic", predictionCol="__score").fit(scored)
     return Scorer(learned, trees, calibration)
