@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from appfacts.llm.chroma import align_recordings, media_of_vectors
 from appfacts.llm.decontaminate import find_leaks
+from appfacts.llm.html_text import extract_pages
 from appfacts.llm.jaccard_trie import jaccard_components
 from appfacts.llm.licenses import scan_licenses
 from appfacts.llm.packing import pack_documents
@@ -49,6 +52,12 @@ def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_repeats(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return extract_pages(read(spark, sf_dir, "pages"))
+
+
 @query
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the address of every page."""
@@ -103,6 +112,13 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+@query
+def op9_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings made from all vectors: classes of equal ones, and what every fiftieth matches among all."""
+    media = media_of_vectors(read(spark, sf_dir, "embeddings"))
+    return align_recordings(media, F.col("media_id") % 50 == 0)
+
+
 @query
 def op10_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document under links between similar sets of five-word shingles."""

@@ -39,11 +39,13 @@ def workers_import(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` over Arrow batches of bounded bytes; it may return none for a batch without output."""
+def map_batches(
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, limit: int = BATCH_BYTES
+) -> DataFrame:
+    """``fn`` over Arrow batches of about ``limit`` bytes; it may return none for a batch without output."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit):
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
