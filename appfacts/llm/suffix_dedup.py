@@ -279,13 +279,14 @@ def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, in
     return b"".join(kept), removed, runs
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """Every row of ``documents`` with the bytes removed that a string of ``length`` bytes covers which starts earlier.
 
     Earlier means a smaller doc_id, or the same text and a smaller offset; rows with one doc_id and different texts are
     ordered by a hash of the text, and equal rows are one text.  A null doc_id comes first.  Null texts are empty; texts
     shorter than ``length`` stay as they are.  Result: all columns of ``documents`` (clashing names go) and kept
-    (binary: a removed run may end inside a character), n_bytes, n_removed, n_spans.
+    (binary, for a removed run may end inside a character; with ``as_text`` a string, without the bytes of characters
+    that were cut), n_bytes, n_removed, n_spans.
     """
     extra = ("kept", "n_bytes", "n_removed", "n_spans", "key", "spans")
     base = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c not in extra]).withColumn("key", F.hash("text"))
@@ -297,16 +298,16 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     columns = [f.name for f in schema]
     from pyspark.sql import types as T
 
-    out = T.StructType([*schema.fields, T.StructField("kept", T.BinaryType()), *[T.StructField(c, T.LongType()) for c in extra[1:4]]])
+    out = T.StructType([*schema.fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *[T.StructField(c, T.LongType()) for c in extra[1:4]]])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for text, cut in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             kept, removed, runs = cut_spans(data, [(s["place"], s["until"]) for s in cut or []])
-            rows.append((kept, len(data), removed, runs))
+            rows.append((kept.decode("utf-8", "ignore") if as_text else kept, len(data), removed, runs))
         return pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in columns], pa.array([r[0] for r in rows], pa.binary())]
+            [*[batch.column(c) for c in columns], pa.array([r[0] for r in rows], pa.string() if as_text else pa.binary())]
             + [pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)],
             names=[*columns, *extra[:4]],
         )
@@ -314,7 +315,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = F.coalesce("text", F.lit("")).cast("binary")
     untouched = rest.drop("key").select(
         *[F.col(f"`{c}`") for c in columns],
-        whole.alias("kept"),
+        (F.coalesce("text", F.lit("")) if as_text else whole).alias("kept"),
         F.octet_length(whole).cast("bigint").alias("n_bytes"),
         F.lit(0).cast("bigint").alias("n_removed"),
         F.lit(0).cast("bigint").alias("n_spans"),

@@ -39,14 +39,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated strings.  A cut may fall inside a character, whose other bytes then go too."""
-    cut = remove_repeats(docs)
-    # try_ variants are of no use here: an invalid sequence is replaced, and the replacement is taken out again.
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(
-        F.regexp_replace(F.decode(F.col("kept"), "UTF-8"), "�", "")
-    )
-    return cut.withColumns({"text": text, "n_chars": F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length(text))}).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    cut = remove_repeats(docs, as_text=True)
+    changed = F.col("n_removed") > 0
+    return cut.withColumns(
+        {
+            "text": F.when(changed, F.col("kept")).otherwise(F.col("text")),
+            "n_chars": F.when(changed, F.length("kept").cast("bigint")).otherwise(F.col("n_chars")),
+        }
+    ).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
