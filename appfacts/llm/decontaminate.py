@@ -230,7 +230,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, similar: float = SIMI
         blocks(alike.select("window", "n_words", "print"), 0)
         .join(
             blocks(prints.select("item_id", F.col("n_words").alias("item_words"), "print"), RADIUS // BLOCKS)
-            .withColumnRenamed("print", "item_print"),
+            .withColumnRenamed("print", "item_print")
+            # Variants are about 1,900 for each item, which no estimate from the items' own size tells: never broadcast.
+            .hint("merge"),
             ["block", "value"],
         )
         .where(F.col("n_words") == F.col("item_words"))

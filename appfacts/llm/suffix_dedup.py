@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from appfacts.llm.bytehash import _BASE2, BYTE_VALUES, SLICE_BYTES, mix, powers
 from appfacts.llm.tables import bit_filter, map_batches, written
@@ -279,46 +280,49 @@ def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, in
     return b"".join(kept), removed, runs
 
 
-def remove_repeats(documents: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
+def remove_repeats(
+    documents: DataFrame,
+    length: int = LENGTH,
+    as_text: bool = False,
+    names: tuple[str, str, str, str] = ("kept", "n_bytes", "n_removed", "n_spans"),
+) -> DataFrame:
     """Every row of ``documents`` with the bytes removed that a string of ``length`` bytes covers which starts earlier.
 
     Earlier means a smaller doc_id, or the same text and a smaller offset; rows with one doc_id and different texts are
     ordered by a hash of the text, and equal rows are one text.  A null doc_id comes first.  Null texts are empty; texts
-    shorter than ``length`` stay as they are.  Result: all columns of ``documents`` (clashing names go) and kept
-    (binary, for a removed run may end inside a character; with ``as_text`` a string, without the bytes of characters
-    that were cut), n_bytes, n_removed, n_spans.
+    shorter than ``length`` stay as they are.  Result: all columns of ``documents`` and four more called ``names``
+    (a column of that name is replaced): what is kept (binary, for a removed run may end inside a character; with
+    ``as_text`` a string, without the bytes of characters that were cut), bytes, bytes removed, removed runs.
     """
-    extra = ("kept", "n_bytes", "n_removed", "n_spans", "key", "spans")
-    base = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c not in extra]).withColumn("key", F.hash("text"))
-    spans = written(repeated_spans(documents, length))
-    near, rest = bit_filter(base, spans, ["doc_id", "key"], both=True)
-    same = F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.key") == F.col("s.key"))
-    joined = near.alias("t").join(spans.alias("s"), same, "left").select("t.*", "s.spans")
-    schema = joined.drop("spans", "key").schema
-    columns = [f.name for f in schema]
-    from pyspark.sql import types as T
-
-    out = T.StructType([*schema.fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *[T.StructField(c, T.LongType()) for c in extra[1:4]]])
+    columns = [c for c in documents.columns if c not in names]
+    base = documents.select(*[F.col(f"`{c}`") for c in columns], F.hash("text").alias("__key"))
+    spans = written(
+        repeated_spans(documents, length).select("doc_id", F.col("key").alias("__key"), F.col("spans").alias("__spans"))
+    )
+    near, rest = bit_filter(base, spans, ["doc_id", "__key"], both=True)
+    same = F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t.__key") == F.col("s.__key"))
+    joined = near.alias("t").join(spans.alias("s"), same, "left").select("t.*", "s.__spans")
+    kind = T.StringType() if as_text else T.BinaryType()
+    added = [T.StructField(n, t) for n, t in zip(names, (kind, T.LongType(), T.LongType(), T.LongType()), strict=True)]
+    out = T.StructType([*documents.select(*[F.col(f"`{c}`") for c in columns]).schema.fields, *added])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for text, cut in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, cut in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             kept, removed, runs = cut_spans(data, [(s["place"], s["until"]) for s in cut or []])
             rows.append((kept.decode("utf-8", "ignore") if as_text else kept, len(data), removed, runs))
         return pa.RecordBatch.from_arrays(
             [*[batch.column(c) for c in columns], pa.array([r[0] for r in rows], pa.string() if as_text else pa.binary())]
             + [pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)],
-            names=[*columns, *extra[:4]],
+            names=[*columns, *names],
         )
 
-    whole = F.coalesce("text", F.lit("")).cast("binary")
-    untouched = rest.drop("key").select(
-        *[F.col(f"`{c}`") for c in columns],
-        (F.coalesce("text", F.lit("")) if as_text else whole).alias("kept"),
-        F.octet_length(whole).cast("bigint").alias("n_bytes"),
-        F.lit(0).cast("bigint").alias("n_removed"),
-        F.lit(0).cast("bigint").alias("n_spans"),
+    whole = F.coalesce("text", F.lit("")) if as_text else F.coalesce("text", F.lit("")).cast("binary")
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    untouched = rest.select(
+        *[F.col(f"`{c}`") for c in columns], *[v.alias(n) for v, n in zip((whole, size, zero, zero), names, strict=True)]
     )
     return map_batches(joined, run, out).unionByName(untouched)
 

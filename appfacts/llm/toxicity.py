@@ -141,14 +141,18 @@ class Scorer:
         self.learned, self.trees, self.calibration = learned, trees, calibration
 
     def score(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        """``keep`` columns of ``df`` and ``score``."""
-        featured = with_features(df, self.learned, keep)
+        """``keep`` columns of ``df``, whatever their names, and ``__score``."""
+        names = [f"__keep{i}" for i in range(len(keep))]
+        inner = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], "text")
+        featured = with_features(inner, self.learned, names)
         if self.trees is None:
-            return featured.select(*keep, F.least(F.lit(1.0), F.col("features")[0] * 20).alias("score"))
-        margin = self.trees.transform(featured.select(*keep, array_to_vector("features").alias("features")))
-        raw = margin.select(*keep, vector_to_array("probability")[1].alias("__raw"))
-        calibrated = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__score")))
-        return self.calibration.transform(raw).select(*keep, calibrated.alias("score"))
+            scored = featured.select(*names, F.least(F.lit(1.0), F.col("features")[0] * 20).alias("__score"))
+        else:
+            margin = self.trees.transform(featured.select(*names, array_to_vector("features").alias("features")))
+            raw = margin.select(*names, vector_to_array("probability")[1].alias("__raw"))
+            calibrated = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__score")))
+            scored = self.calibration.transform(raw).select(*names, calibrated.alias("__score"))
+        return scored.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "__score")
 
 
 def learn_words(rows: DataFrame) -> list[str]:
@@ -214,12 +218,12 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return fit(documents, labels).score(documents, ["doc_id"]).select(
         "doc_id",
         (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"),
-        "score",
-        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+        F.col("__score").alias("score"),
+        (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"),
     )
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``documents``, all columns, whose score is below the threshold."""
     columns = documents.columns
-    return fit(documents, labels).score(documents, columns).where(F.col("score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in columns])
+    return fit(documents, labels).score(documents, columns).where(F.col("__score") < THRESHOLD).select(*[F.col(f"`{c}`") for c in columns])

@@ -39,12 +39,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated strings.  A cut may fall inside a character, whose other bytes then go too."""
-    cut = remove_repeats(docs, as_text=True)
-    changed = F.col("n_removed") > 0
+    cut = remove_repeats(docs, as_text=True, names=("__kept", "__bytes", "__removed", "__runs"))
+    changed = F.col("__removed") > 0
     return cut.withColumns(
         {
-            "text": F.when(changed, F.col("kept")).otherwise(F.col("text")),
-            "n_chars": F.when(changed, F.length("kept").cast("bigint")).otherwise(F.col("n_chars")),
+            "text": F.when(changed, F.col("__kept")).otherwise(F.col("text")),
+            "n_chars": F.when(changed, F.length("__kept").cast("bigint")).otherwise(F.col("n_chars")),
         }
     ).select(*[F.col(f"`{c}`") for c in docs.columns])
 
