@@ -67,18 +67,40 @@ def _no_items(a: Column) -> Column:
     return F.coalesce(F.size(a) <= 0, F.lit(True))
 
 
-# Path patterns come from apps and may be broken expressions.  Plain characters, escapes, classes and groups without
-# nesting, each with at most one repetition sign, are safe to compile; any other pattern matches nothing.  The
-# possessive repetitions keep the check itself from using the stack.
-SAFE_PATTERN = (
+# Path patterns come from apps and may be broken expressions: each is compiled before it is used, and one that does not
+# compile matches nothing (``rejected_patterns`` lists them).  A repeated group uses stack for each repetition, so a
+# pattern outside the plain form below is only run on paths of up to MAX_GROUP_PATH characters; servers cut URLs
+# well before that.  Possessive repetitions keep the check of the form itself from using the stack.
+PLAIN_PATTERN = (
     r"^(?:(?:\\.|\[[^\[\]\\&]+\]|\((?:(?:\\.|[^\\()\[\]{}*+?|^$])[*+?]?)++\)|[^\\()\[\]{}*+?|^$])[*+?]?)*+$"
 )
+MAX_GROUP_PATH = 4096
+
+
+def path_pattern(pattern) -> Column:
+    """The expression that a path pattern stands for: its Java-string escapes undone."""
+    return F.regexp_replace(_col(pattern), r"\\(.)", "$1")
+
+
+def _whole(expression: Column) -> Column:
+    return F.concat(F.lit(r"\A(?:"), expression, F.lit(r")\z"))
+
+
+def compiles(expression) -> Column:
+    """Whether an expression is valid, alone and as a group."""
+    e = _col(expression)
+
+    def ok(x):
+        return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), x).isNotNull()
+
+    return e.isNotNull() & ok(e) & ok(_whole(e))
 
 
 def _path_matches(path: Column, pattern: Column) -> Column:
-    """Whole-path test; the pattern's Java-string escapes are undone first."""
-    p = F.regexp_replace(pattern, r"\\(.)", "$1")
-    return F.when(p.rlike(SAFE_PATTERN), F.rlike(path, F.concat(F.lit("^(?:"), p, F.lit(")$")))).otherwise(F.lit(False))
+    """Whole-path test."""
+    p = path_pattern(pattern)
+    usable = p.rlike(PLAIN_PATTERN) | (compiles(p) & (F.length(path) <= MAX_GROUP_PATH))
+    return F.when(usable, F.rlike(path, _whole(p))).otherwise(F.lit(False))
 
 
 def uri_matches(data, uri) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from appfacts.session import fresh_name
+from appfacts.session import cut_lineage, fresh_name, sized_broadcast
 
 # A key with more rows than this is split over several tasks.
 HOT_ROWS = 1_000_000
@@ -25,15 +25,23 @@ def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFram
 
 
 def skew_join(
-    many: DataFrame, few: DataFrame, on: list[str], how: str = "inner", hot_rows: int = HOT_ROWS
+    many: DataFrame, few: DataFrame, on: list[str], how: str = "inner", hot_rows: int = HOT_ROWS, once: bool = False
 ) -> DataFrame:
     """Equi join in which a hot key of ``many`` is cut into pieces.
 
-    Rows of ``many`` with a hot key are spread by a hash of the whole row (so a retried task gives the same split) and
-    the matching rows of ``few`` are copied once per piece.  Cold keys keep one piece: nothing is copied for them.
-    ``how`` may be inner, left, left_semi or left_anti (``many`` is the left side).
+    The hot keys are counted first, from the key columns alone; without any the join is the plain one.  Otherwise rows
+    of ``many`` with a hot key are spread by a hash of the whole row (so a retried task gives the same split) and the
+    matching rows of ``few`` are copied once per piece.  The list of hot keys is broadcast while small, so ``many`` is
+    shuffled once.  ``once`` writes ``many`` first, for inputs that are dear to compute twice.  ``how`` may be inner,
+    left, left_semi or left_anti (``many`` is the left side).
     """
-    pieces = hot_keys(many, on, hot_rows)
+    if once:
+        many = cut_lineage(many)
+    pieces = cut_lineage(hot_keys(many, on, hot_rows))
+    n_hot = pieces.count()
+    if not n_hot:
+        return many.join(few, on, how)
+    pieces = sized_broadcast(pieces, n_hot)
     salt = fresh_name("salt")
     left = many.join(pieces, on, "left").withColumn(
         salt, F.pmod(F.xxhash64(*[F.col(c) for c in many.columns]), F.coalesce("__pieces", F.lit(1))).cast("int")

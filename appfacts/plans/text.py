@@ -187,11 +187,17 @@ def mime_matches(f):
     return f["lineitem"].select((o * 10 + n).alias("row_id"), X.mime_matches(mimes, m).alias("ok"))
 
 
-_URI_SQL = """
+# Valid patterns of all kinds, and two that do not compile.
+PATTERNS = ["/a.*", "/a|/b", "(/a|/ab)", "/a{1}", "^/a$", "/.*?b", "/[ab]+", "/((a)b)", "/a{2}", "/(a", "[/a"]
+BROKEN = ["/(a", "[/a"]
+_PATTERNS_SQL = "CASE l_quantity % 11 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PATTERNS)) + " END"
+_BROKEN_SQL = "(" + ", ".join(f"'{p}'" for p in BROKEN) + ")"
+
+_URI_SQL = f"""
 SELECT l_orderkey * 10 + l_linenumber AS row_id,
   CASE l_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'http' ELSE 'content' END AS s, CASE WHEN l_partkey % 4 = 1 AND l_partkey % 3 > 0 THEN 'h' || l_partkey % 3 END AS h,
   CASE WHEN l_partkey % 6 = 1 THEN '80' END AS p, CASE l_linenumber % 4 WHEN 1 THEN '/a' END AS path, CASE l_linenumber % 4 WHEN 2 THEN '/a' END AS prefix,
-  CASE l_linenumber % 4 WHEN 3 THEN '/a.*' END AS pat,
+  CASE l_linenumber % 4 WHEN 3 THEN {_PATTERNS_SQL} END AS pat,
   CASE l_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'content' WHEN 2 THEN 'ftp' ELSE 'http' END AS us, CASE WHEN l_orderkey % 5 > 2 THEN 'h' || l_suppkey % 3 END AS uh,
   CASE WHEN l_orderkey % 7 = 1 THEN '80' WHEN l_orderkey % 7 = 2 THEN '81' END AS up, CASE l_suppkey % 3 WHEN 0 THEN '/a' WHEN 1 THEN '/ab' END AS upath FROM lineitem"""
 
@@ -200,7 +206,7 @@ SELECT l_orderkey * 10 + l_linenumber AS row_id,
     "d3_uri_matches",
     f"""SELECT row_id, CASE WHEN s IS NULL THEN us IS NULL WHEN us IS DISTINCT FROM s THEN false WHEN h IS NULL THEN true
   WHEN h IS DISTINCT FROM uh OR (p IS NOT NULL AND p IS DISTINCT FROM up) THEN false WHEN coalesce(path, prefix, pat) IS NULL THEN true WHEN upath IS NULL THEN false
-  ELSE coalesce(upath = path, false) OR coalesce(starts_with(upath, prefix), false) OR coalesce(regexp_full_match(upath, pat), false) END AS ok FROM ({_URI_SQL})""",
+  ELSE coalesce(upath = path, false) OR coalesce(starts_with(upath, prefix), false) OR coalesce(CASE WHEN pat IN {_BROKEN_SQL} THEN false ELSE regexp_full_match(upath, pat) END, false) END AS ok FROM ({_URI_SQL})""",
 )
 def uri_matches(f):
     facts = f["lineitem"].selectExpr(
@@ -210,7 +216,7 @@ def uri_matches(f):
         "CASE WHEN l_partkey % 6 = 1 THEN '80' END AS p",
         "CASE l_linenumber % 4 WHEN 1 THEN '/a' END AS path",
         "CASE l_linenumber % 4 WHEN 2 THEN '/a' END AS prefix",
-        "CASE l_linenumber % 4 WHEN 3 THEN '/a.*' END AS pat",
+        f"CASE l_linenumber % 4 WHEN 3 THEN {_PATTERNS_SQL} END AS pat",
         "named_struct('scheme', CASE l_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'content' WHEN 2 THEN 'ftp' ELSE 'http' END,"
         " 'host', CASE WHEN l_orderkey % 5 > 2 THEN concat('h', l_suppkey % 3) END,"
         " 'port', CASE WHEN l_orderkey % 7 = 1 THEN '80' WHEN l_orderkey % 7 = 2 THEN '81' END,"
@@ -228,6 +234,21 @@ def uri_matches(f):
     return facts.withColumn("data", data).select("row_id", X.uri_matches("data", "u").alias("ok"))
 
 
+@query(
+    "d3_rejected_patterns",
+    f"SELECT pat AS pattern, COUNT(*) AS n_filters FROM (SELECT {_PATTERNS_SQL} AS pat FROM lineitem) WHERE pat IN {_BROKEN_SQL} GROUP BY 1",
+)
+def rejected_patterns(f):
+    """Path patterns that do not compile, with the number of filters that have them."""
+    from appfacts.operators.matching import rejected_patterns as rejected
+
+    data = F.struct(F.array_compact(F.array(F.expr(_PATTERNS_SQL))).alias("path_patterns"))
+    rows = f["lineitem"].select(
+        F.col("l_suppkey").alias("app_id"), F.lit("c").alias("component"), F.col("l_orderkey").alias("filter_id"), data.alias("data")
+    )
+    return rejected(rows)
+
+
 @query(
     "j3_numbered_filters",
     "SELECT filter_id, row_number() OVER (PARTITION BY app_id % 4 ORDER BY filter_id) AS filter_no FROM fx_filters JOIN fx_components USING (component_id)",

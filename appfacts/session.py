@@ -15,8 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
-    Checkpoints must survive the loss of an executor, so on a cluster the folder has to be set.  Only a local master
-    (tests) gets a temporary folder.
+    Checkpoints must survive the loss of an executor, so the folder has to be set.  Only a local master, whose
+    executors are this process, does without the setting: it gets a temporary folder.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir():

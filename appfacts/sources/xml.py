@@ -118,7 +118,8 @@ def read_manifests(xml: DataFrame) -> Manifests:
     filters = rows.select("app_id", "component", "entry_no", F.posexplode("fs").alias("filter_no", "f")).select(
         "app_id",
         "component",
-        (F.col("entry_no") * 100_000 + F.col("filter_no")).cast("bigint").alias("filter_id"),
+        # two 31-bit numbers in one
+        (F.shiftleft(F.col("entry_no").cast("bigint"), 31) + F.col("filter_no")).alias("filter_id"),
         _values(F.col("f.action"), "_name").alias("actions"),
         _values(F.col("f.category"), "_name").alias("categories"),
         _filter_data(F.col("f.data")).alias("data"),

@@ -17,19 +17,25 @@ SEEN = "_ingested_apps"
 def ingest_apps(
     spark: SparkSession, in_path: str, schema: T.StructType | str, out_root: str, checkpoint: str, table: str = "facts"
 ) -> StreamingQuery:
-    """Append the facts of new apps to a staged table, each app once.
+    """Append new facts to a staged table, each row once.
 
-    Files that appear under ``in_path`` are picked up as a stream.  All rows of an app that no earlier batch brought
-    in are kept (equal rows once); later files about a known app are skipped.  Every batch writes its own partition
-    and overwrites it when it is repeated after a failure, so the result does not depend on restarts.
+    Files that appear under ``in_path`` are picked up as a stream.  An app may come in several deliveries: rows of a
+    known app are compared with what earlier batches brought of that app, and those that are new are added.  Every
+    batch writes its own partition and overwrites it when it is repeated after a failure, so the result does not
+    depend on restarts.
     """
 
     def add(batch: DataFrame, batch_id: int) -> None:
         new = batch.distinct()
         if has_stage(spark, out_root, f"{table}{SEEN}"):
             seen = spark.read.parquet(f"{out_root}/{table}{SEEN}").where(F.col("batch_id") < batch_id).select("app_id")
-            new = new.join(seen, "app_id", "left_anti")
-        # The facts come first: an app counts as seen once they are complete.
+            again = seen.join(new.select("app_id").distinct(), "app_id", "left_semi").distinct()
+            if not again.isEmpty():
+                before = spark.read.parquet(f"{out_root}/{table}").where(F.col("batch_id") < batch_id)
+                before = before.join(again, "app_id", "left_semi").select(*new.columns)
+                known = new.join(again, "app_id", "left_semi").subtract(before)
+                new = new.join(again, "app_id", "left_anti").unionByName(known)
+        # The facts come first: an app counts as known once they are complete.
         new.write.mode("overwrite").parquet(f"{out_root}/{table}/batch_id={batch_id}")
         done = spark.read.parquet(f"{out_root}/{table}/batch_id={batch_id}")
         done.select("app_id").distinct().write.mode("overwrite").parquet(f"{out_root}/{table}{SEEN}/batch_id={batch_id}")
