@@ -21,7 +21,7 @@ from appfacts.llm.tables import map_batches
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Parts of texts kept by each Python worker.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 150_000
 
 
 class CharMap:

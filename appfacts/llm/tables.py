@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from appfacts.session import ensure_checkpoint_dir
 
 #: Bytes of text that a Python stage holds at a time, besides one row.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+
+
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +37,13 @@ def sliced(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -> Itera
 
 
 def workers_import(spark: SparkSession) -> None:
-    """Let Python workers find this package where it isn't installed (a checkout, with the driver elsewhere)."""
+    """Let Python workers find this package where it isn't installed (a checkout, with the driver elsewhere), and bound
+    the batches they get by bytes."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+    # Batches of 10,000 rows may be of any size; a worker and its executor hold several at a time.
+    if int(spark.conf.get(ARROW_BYTES, str(1 << 31))) > 2 * BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(2 * BATCH_BYTES))
 
 
 def map_batches(
