@@ -77,27 +77,30 @@ def nearest_ancestor(ancestor_rows: DataFrame, methods: DataFrame, wanted: DataF
     )
 
 
-def match_by_subtype(calls: DataFrame, ancestor_names: DataFrame, ss_list: DataFrame) -> DataFrame:
-    """Calls whose signature is, or overrides, one of the listed signatures.
+def match_by_subtype(
+    calls: DataFrame, ancestor_names: DataFrame, ss_list: DataFrame, scope: list[str] = ("app_id",)
+) -> DataFrame:
+    """Calls whose signature is, or overrides, one of the listed signatures in the app's own hierarchy.
 
-    ``ancestor_names`` has class_name and ancestor_name (itself included).  Both conditions are equalities: the
-    sub-signature and the listed class among the ancestors.
+    ``ancestor_names`` has class_name and ancestor_name (itself included) by ``scope``: apps use equal class names for
+    different classes.  Both conditions are equalities: the sub-signature and the listed class among the ancestors.
     """
+    scope = list(scope)
     p = signature_parts("signature")
     listed = ss_list.withColumns({"ancestor_name": p["cls"], "sub_sig": p["sub_sig"]}).withColumnRenamed(
         "signature", "listed_signature"
     )
     c = signature_parts("callee_sig")
-    called = calls.select("callee_sig").distinct().withColumns({"class_name": c["cls"], "sub_sig": c["sub_sig"]})
+    called = calls.select(*scope, "callee_sig").distinct().withColumns({"class_name": c["cls"], "sub_sig": c["sub_sig"]})
     # Different callee signatures are matched, not calls.
     matched = (
         called.join(listed.select("sub_sig").distinct(), "sub_sig", "left_semi")
-        .join(ancestor_names, "class_name")
+        .join(ancestor_names, [*scope, "class_name"])
         .join(listed, ["ancestor_name", "sub_sig"])
         .drop("class_name", "ancestor_name", "sub_sig")
     )
     # One callee may be called by a large share of all calls.
-    return skew_join(calls, matched, ["callee_sig"])
+    return skew_join(calls, matched, [*scope, "callee_sig"])
 
 
 def merge_tags(matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,15 +169,16 @@ def override_callbacks(reachable: DataFrame, classes: DataFrame, ancestor_rows:
 
 
 class RegistrationCallbacks(NamedTuple):
-    """``uses``: (component, listener_id) of the listener types a component registers; ``callbacks``: (listener_id,
-    class_id, declaring_id, sub_sig) of the methods such a listener may be called back with."""
+    """``uses``: (app_id, component, listener_id) of the listener types a component registers; ``callbacks``: (app_id,
+    listener_id, class_id, declaring_id, sub_sig) of the app's methods that such a listener may be called back with."""
 
     uses: DataFrame
     callbacks: DataFrame
 
     def expand(self) -> DataFrame:
         """Callbacks per component; select the components of interest first."""
-        return self.uses.join(self.callbacks, "listener_id").select("component", "class_id", "declaring_id", "sub_sig").distinct()
+        found = self.uses.join(self.callbacks, ["app_id", "listener_id"])
+        return found.select("app_id", "component", "class_id", "declaring_id", "sub_sig").distinct()
 
 
 def registration_callbacks(
@@ -182,25 +186,31 @@ def registration_callbacks(
 ) -> RegistrationCallbacks:
     """Callback methods of listeners that reachable app code registers.
 
-    ``calls`` are reachable calls from app code with component and callee_sig.  A parameter (or array element) of a
-    known listener type stands for every concrete app class below it; the methods of each known listener interface
+    ``calls`` are reachable calls from app code with app_id, component and callee_sig; ``classes`` have the app_id of
+    the app they belong to, null for platform classes that all apps share.  A parameter (or array element) of a known
+    listener type stands for every concrete class of the app below it; the methods of each known listener interface
     such a class has are looked up from the class upwards.
     """
     listeners = local_table(classes.sparkSession, [(t,) for t in sorted(set(K.LISTENER_TYPES))], "class_name string")
     bases = F.transform(parameter_types("callee_sig"), lambda t: F.regexp_replace(t, r"(\[\])+$", ""))
     ids = classes.select("class_id", "class_name")
-    uses = (
-        calls.select("component", "callee_sig").distinct()
-        .select("component", F.explode(bases).alias("class_name")).distinct()
+    named = (
+        calls.select("app_id", "component", "callee_sig").distinct()
+        .select("app_id", "component", F.explode(bases).alias("class_name")).distinct()
         .join(listeners, "class_name")
-        .join(ids, "class_name")
-        .select("component", F.col("class_id").alias("listener_id"))
+    )
+    # An app's own class of that name, or the shared one.
+    shared = named.join(classes.where("app_id IS NULL").select("class_id", "class_name"), "class_name")
+    own = named.join(classes.where("app_id IS NOT NULL").select("app_id", "class_id", "class_name"), ["app_id", "class_name"])
+    uses = (
+        shared.select("app_id", "component", "class_id").unionByName(own.select("app_id", "component", "class_id"))
+        .withColumnRenamed("class_id", "listener_id").distinct()
     )
     app = classes.where("is_concrete").where(~_platform("class_name") & ~F.col("class_name").startswith("java."))
     below = (
         ancestor_rows.select("class_id", F.col("ancestor_id").alias("listener_id"))
-        .join(uses.select("listener_id").distinct(), "listener_id", "left_semi")
-        .join(app.select("class_id"), "class_id", "left_semi")
+        .join(app.select("app_id", "class_id"), "class_id")
+        .join(uses.select("app_id", "listener_id").distinct(), ["app_id", "listener_id"], "left_semi")
     )
     interfaces = ids.join(listeners, "class_name").join(
         classes.where("is_interface").select("class_id"), "class_id", "left_semi"
@@ -217,15 +227,15 @@ def registration_callbacks(
     nearest = nearest_ancestor(ancestor_rows, methods, wanted, "sub_sig")
     not_platform = ids.where(~F.col("class_name").startswith("android.")).select(F.col("class_id").alias("declaring_id"))
     callbacks = below.join(nearest.join(not_platform, "declaring_id", "left_semi"), "class_id")
-    return RegistrationCallbacks(uses, callbacks.select("listener_id", "class_id", "declaring_id", "sub_sig"))
+    return RegistrationCallbacks(uses, callbacks.select("app_id", "listener_id", "class_id", "declaring_id", "sub_sig"))
 
 
 def class_layouts(call_sites: DataFrame, arg_values: DataFrame) -> DataFrame:
-    """(class_id, layout_id) from the resolved argument of ``setContentView`` calls."""
-    keys = [c for c in ("app_id", "site_id") if c in call_sites.columns]
+    """(app_id, class_id, layout_id) from the resolved argument of ``setContentView`` calls."""
+    keys = ["app_id", "site_id"]
     sites = call_sites.where(signature_parts("callee_sig")["sub_sig"] == K.SET_CONTENT_VIEW_SUBSIG)
     values = arg_values.where((F.col("arg_idx") == 1) & (F.col("kind") == "int")).select(*keys, F.col("value").cast("bigint").alias("layout_id"))
-    return sites.join(values, keys).select("class_id", "layout_id").distinct()
+    return sites.join(values, keys).select("app_id", "class_id", "layout_id").distinct()
 
 
 def layout_callbacks(
@@ -233,9 +243,11 @@ def layout_callbacks(
 ) -> DataFrame:
     """(class_id, method_name, declaring_id): click handlers of a class's layouts, found in the class or above it.
 
-    A layout brings in its own handlers and those of the layouts it includes.
+    A layout brings in its own handlers and those of the layouts it includes.  Layout ids belong to an app: all three
+    tables have app_id.
     """
-    included = layouts.join(includes, "layout_id").select("class_id", F.col("included_id").alias("layout_id"))
-    wanted = layouts.unionByName(included).distinct().join(handlers, "layout_id").select("class_id", "method_name").distinct()
+    layout = ["app_id", "layout_id"]
+    included = layouts.join(includes, layout).select("app_id", "class_id", F.col("included_id").alias("layout_id"))
+    wanted = layouts.unionByName(included).distinct().join(handlers, layout).select("class_id", "method_name").distinct()
     named = methods.withColumn("method_name", F.substring_index("sub_sig", ":", 1))
     return nearest_ancestor(ancestor_rows, named, wanted, "method_name")

@@ -31,6 +31,14 @@ SELECT p_partkey AS class_id,
   p_size % 10 = 0 AS is_interface
 FROM {part}"""
 
+# Apps whose classes have equal names but different places in the hierarchy.
+FACTS["fx_app_classes"] = """
+SELECT p_partkey * 3 + k AS class_id, CAST(FLOOR(p_partkey / 1000.0) AS BIGINT) * 3 + k AS app_id, p_partkey % 1000 AS number,
+  CASE WHEN p_partkey % 1000 = 0 THEN NULL ELSE (CAST(FLOOR(p_partkey / 1000.0) AS BIGINT) * 1000
+    + CAST(FLOOR((p_partkey % 1000 - 1) / (2.0 + k)) AS BIGINT)) * 3 + k END AS super_id,
+  'com.app.C' || CAST(p_partkey % 1000 AS STRING) AS class_name, 'm' || CAST((p_size + k) % 6 AS STRING) || ':()V' AS sub_sig
+FROM {part} $SPREAD(3)"""
+
 FACTS["fx_methods"] = """
 SELECT p_partkey * 10 + k AS method_id, p_partkey AS class_id,
   'm' || CAST((p_size + k) % 12 AS STRING) || ':()V' AS sub_sig, k = 0 AS is_constructor,
@@ -68,15 +76,19 @@ SELECT o_orderkey AS intent_id, CAST(FLOOR(o_custkey / 15.0) AS BIGINT) AS app_i
   o_orderkey % 11 <> 0 AS precise_explicit, o_orderkey % 13 <> 0 AS precise_implicit
 FROM {orders}"""
 
-FACTS["fx_call_edges"] = """
-SELECT DISTINCT l_suppkey AS app_id, l_partkey % 60 AS caller, (l_orderkey + l_linenumber * 7) % 60 AS callee
-FROM {lineitem}
-WHERE l_linenumber = 1"""
+# Graphs from all rows: each supplier has 120 nodes of its own, and every fourth supplier's nodes belong to one large
+# app, which so grows with the data.  Edges lead some steps on, so closures take several rounds.
+_APP = "CASE WHEN l_suppkey % 4 = 0 THEN 4 ELSE l_suppkey END"
 
-FACTS["fx_dep_edges"] = """
-SELECT DISTINCT l_suppkey AS app_id, l_partkey % 60 AS use_node, (l_orderkey * 3 + 11) % 60 AS def_node
-FROM {lineitem}
-WHERE l_linenumber = 2"""
+FACTS["fx_call_edges"] = f"""
+SELECT DISTINCT {_APP} AS app_id, l_suppkey * 120 + l_partkey % 120 AS caller,
+  l_suppkey * 120 + (l_partkey % 120 + 1 + (l_orderkey + l_linenumber * 7) % 40) % 120 AS callee
+FROM {{lineitem}}"""
+
+FACTS["fx_dep_edges"] = f"""
+SELECT DISTINCT {_APP} AS app_id, l_suppkey * 120 + l_partkey % 120 AS use_node,
+  l_suppkey * 120 + (l_partkey % 120 + 3 + (l_orderkey * 3 + l_linenumber) % 50) % 120 AS def_node
+FROM {{lineitem}}"""
 
 FACTS["fx_call_sites"] = """
 SELECT l_orderkey * 10 + l_linenumber AS site_id, l_suppkey AS app_id, l_partkey % 60 AS owner,
@@ -166,23 +178,23 @@ SELECT CAST(FLOOR(p_partkey / 20.0) AS BIGINT) AS app_id, p_partkey % 20 AS cont
        WHEN p_size % 5 = k THEN 'textPassword' ELSE 'text' END AS value
 FROM {part} $SPREAD(3)"""
 
-# setContentView calls of a class, and layouts with includes and click handlers.
+# setContentView calls of a class, and layouts with includes and click handlers.  Each app uses the same layout ids.
 FACTS["fx_layout_calls"] = """
-SELECT o_orderkey AS site_id, o_custkey AS class_id,
+SELECT o_orderkey AS site_id, o_custkey % 7 AS app_id, o_custkey AS class_id,
   CASE WHEN o_orderkey % 3 = 0 THEN 'Lx/Y;.setTitle:(I)V' ELSE 'Lx/Y;.setContentView:(I)V' END AS callee_sig,
   1 AS arg_idx, CASE WHEN o_orderkey % 7 = 0 THEN 'point_string' ELSE 'int' END AS kind,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 50 AS STRING) END AS value
 FROM {orders}"""
 
 FACTS["fx_layout_includes"] = """
-SELECT DISTINCT p_size AS layout_id, (p_size + 1) % 50 AS included_id FROM {part} WHERE p_size % 5 = 0"""
+SELECT DISTINCT k AS app_id, p_size AS layout_id, (p_size + 1 + k) % 50 AS included_id FROM {part} $SPREAD(7) WHERE (p_size + k) % 5 = 0"""
 
 FACTS["fx_layout_handlers"] = """
-SELECT DISTINCT p_size AS layout_id, 'm' || CAST(p_size % 12 AS STRING) AS method_name FROM {part}"""
+SELECT DISTINCT k AS app_id, p_size AS layout_id, 'm' || CAST((p_size + k) % 12 AS STRING) AS method_name FROM {part} $SPREAD(7)"""
 
 # A hierarchy with listener interfaces, declared methods and calls that register listeners.
 FACTS["fx_listener_classes"] = """
-SELECT p_partkey AS class_id,
+SELECT p_partkey AS class_id, CASE WHEN p_partkey >= 8 THEN p_partkey % 3 ELSE NULL END AS app_id,
   CASE WHEN p_partkey < 8 OR p_partkey % 50 = 0 THEN NULL ELSE CAST(FLOOR((p_partkey - 1) / 3.0) AS BIGINT) END AS super_id,
   CASE WHEN p_partkey >= 8 AND p_size % 6 = 0 THEN CAST(p_partkey % 5 AS BIGINT) ELSE NULL END AS interface_id,
   CASE p_partkey WHEN 0 THEN 'android.view.View$OnClickListener' WHEN 1 THEN 'android.location.LocationListener'
@@ -202,7 +214,7 @@ SELECT p_partkey AS class_id,
 FROM {part} $SPREAD(3)"""
 
 FACTS["fx_listener_calls"] = """
-SELECT DISTINCT o_custkey % 8 + 100 AS component_id, o_custkey + 8 AS owner_id,
+SELECT DISTINCT (o_custkey + 8) % 3 AS app_id, o_custkey % 8 + 100 AS component_id, o_custkey + 8 AS owner_id,
   CASE o_orderkey % 4 WHEN 0 THEN 'Lx/B;.setOnClickListener:(Landroid/view/View$OnClickListener;)V'
     WHEN 1 THEN 'Lx/L;.listen:(ILandroid/location/LocationListener;)V'
     WHEN 2 THEN 'Lx/W;.client:([Landroid/webkit/WebViewClient;)V' ELSE 'Lx/N;.none:(Ljava/lang/String;)V' END AS callee_sig
@@ -232,22 +244,22 @@ SELECT p_partkey AS site_id, CAST(FLOOR(p_partkey / 20.0) AS BIGINT) AS app_id,
   p_size % 9 = 0 AS unresolved
 FROM {part}"""
 
-# Bundle writes and reads.
+# Bundle writes and reads: rows with odd and even line numbers.  Bundles are as many as the app has parts.
 FACTS["fx_puts"] = """
-SELECT l_suppkey AS app_id, l_partkey % 300 AS instance_id,
+SELECT l_suppkey AS app_id, l_partkey AS instance_id,
   CASE WHEN l_partkey % 13 = 0 THEN 'point_string' ELSE 'string' END AS key_kind,
   CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE 'k' || CAST(l_orderkey % 6 AS STRING) END AS key,
   l_orderkey * 10 + l_linenumber AS value_id
 FROM {lineitem}
-WHERE l_linenumber = 3"""
+WHERE l_linenumber % 2 = 1"""
 
 FACTS["fx_gets"] = """
-SELECT l_orderkey * 10 + l_linenumber AS get_id, l_suppkey AS app_id, l_partkey % 300 AS instance_id,
+SELECT l_orderkey * 10 + l_linenumber AS get_id, l_suppkey AS app_id, l_partkey AS instance_id,
   CASE WHEN l_partkey % 17 = 0 THEN 'point_string' ELSE 'string' END AS key_kind,
   CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE 'k' || CAST(l_orderkey % 6 AS STRING) END AS key,
   CASE WHEN l_orderkey % 2 = 0 THEN -l_orderkey ELSE NULL END AS default_id
 FROM {lineitem}
-WHERE l_linenumber = 4"""
+WHERE l_linenumber % 2 = 0"""
 
 # Receivers registered at run time.
 FACTS["fx_register_calls"] = """
@@ -266,19 +278,22 @@ SELECT DISTINCT CAST(FLOOR(p_partkey / 20.0) AS BIGINT) AS app_id, p_partkey % 4
   CASE WHEN p_size % 8 = k THEN NULL ELSE 'f.' || p_brand END AS value
 FROM {part} $SPREAD(2)"""
 
-# Points-to facts: allocation, copy, field store and load.
-FACTS["fx_alloc"] = """
-SELECT DISTINCT l_suppkey AS app_id, l_partkey % 20 AS var, l_orderkey % 9 AS instance_id FROM {lineitem}
-WHERE l_linenumber = 1 AND l_partkey % 4 = 0"""
-FACTS["fx_assign"] = """
-SELECT DISTINCT l_suppkey AS app_id, l_partkey % 20 AS src, l_orderkey % 20 AS dst FROM {lineitem}
-WHERE l_linenumber = 2 AND l_partkey % 5 = 0"""
-FACTS["fx_store"] = """
-SELECT DISTINCT l_suppkey AS app_id, l_partkey % 20 AS base, 'f' || CAST(l_orderkey % 2 AS STRING) AS field, l_orderkey % 20 AS src
-FROM {lineitem} WHERE l_linenumber = 3 AND l_partkey % 8 = 0"""
-FACTS["fx_load"] = """
-SELECT DISTINCT l_suppkey AS app_id, l_partkey % 20 AS base, 'f' || CAST(l_orderkey % 2 AS STRING) AS field, l_orderkey % 20 AS dst
-FROM {lineitem} WHERE l_linenumber = 4 AND l_partkey % 8 = 0"""
+# Points-to facts: each row is an allocation, a copy, a field store or a load, by its line number.  Copies lead to later
+# variables, so that sets stay of moderate size.
+_VAR = "l_suppkey * 1500 + (l_partkey * 7 + l_orderkey) % 1500"
+_OTHER = "l_suppkey * 1500 + ((l_partkey * 7 + l_orderkey) % 1500 + 1 + l_orderkey % 5) % 1500"
+FACTS["fx_alloc"] = f"""
+SELECT DISTINCT l_suppkey AS app_id, {_VAR} AS var, l_suppkey * 50 + l_orderkey % 50 AS instance_id
+FROM {{lineitem}} WHERE l_linenumber % 4 = 0"""
+FACTS["fx_assign"] = f"""
+SELECT DISTINCT l_suppkey AS app_id, LEAST({_VAR}, {_OTHER}) AS src, GREATEST({_VAR}, {_OTHER}) AS dst
+FROM {{lineitem}} WHERE l_linenumber % 4 = 1"""
+FACTS["fx_store"] = f"""
+SELECT DISTINCT l_suppkey AS app_id, {_VAR} AS base, 'f' || CAST(l_orderkey % 7 AS STRING) AS field, {_OTHER} AS src
+FROM {{lineitem}} WHERE l_linenumber % 4 = 2"""
+FACTS["fx_load"] = f"""
+SELECT DISTINCT l_suppkey AS app_id, {_VAR} AS base, 'f' || CAST(l_orderkey % 7 AS STRING) AS field, {_OTHER} AS dst
+FROM {{lineitem}} WHERE l_linenumber % 4 = 3"""
 
 FACTS["fx_services"] = """
 SELECT o_orderkey AS site_id, CAST(FLOOR(o_custkey / 15.0) AS BIGINT) AS app_id,
@@ -303,17 +318,18 @@ SELECT CASE WHEN p_partkey % 3 = 0 THEN 'android.os.C' ELSE 'com.android.C' END
 FROM {part} WHERE p_size % 4 <> 0 AND p_partkey % 3 <> 2"""
 
 # Dependence-graph nodes with what they stand for.
-FACTS["fx_nodes"] = """
-SELECT DISTINCT l_suppkey AS app_id, l_partkey % 60 AS node, CAST(FLOOR((l_partkey % 60) / 5.0) AS BIGINT) AS site_id,
+FACTS["fx_nodes"] = f"""
+SELECT DISTINCT {_APP} AS app_id, l_suppkey * 120 + l_partkey % 120 AS node,
+  CAST(FLOOR((l_suppkey * 120 + l_partkey % 120) / 5.0) AS BIGINT) AS site_id,
   CASE l_partkey % 5 WHEN 0 THEN 'virtual_body' WHEN 1 THEN 'call_arg' WHEN 2 THEN 'call_arg' WHEN 3 THEN 'entry_param'
     ELSE 'normal' END AS node_kind,
   CASE l_partkey % 5 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN l_partkey % 3 ELSE NULL END AS position,
-  CASE WHEN l_partkey % 5 < 3 THEN CASE CAST(FLOOR((l_partkey % 60) / 5.0) AS BIGINT) % 4
+  CASE WHEN l_partkey % 5 < 3 THEN CASE CAST(FLOOR((l_partkey % 120) / 5.0) AS BIGINT) % 4
     WHEN 0 THEN 'Lx/Src;.get:()V' WHEN 1 THEN 'Lx/Sink;.put:(I)V'
     WHEN 2 THEN 'Landroid/app/Activity;.startActivity:(Landroid/content/Intent;)V'
     ELSE 'Landroid/app/Activity;.findViewById:(I)Landroid/view/View;' END ELSE NULL END AS callee_sig,
-  'Lcom/app/O' || CAST((l_partkey % 60) % 7 AS STRING) || ';.m:()V' AS owner_sig
-FROM {lineitem}"""
+  'Lcom/app/O' || CAST((l_suppkey * 120 + l_partkey % 120) % 7 AS STRING) || ';.m:()V' AS owner_sig
+FROM {{lineitem}}"""
 
 _SPREAD = re.compile(r"\$SPREAD\((\d+)\)")
 _DEP = re.compile(r"(?<!\{)\{(\w+)\}")

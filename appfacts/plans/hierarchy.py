@@ -34,11 +34,11 @@ def subtypes(f):
     f"""{_ANC_SQL},
 w AS (SELECT p_partkey AS class_id, 'm' || p_size % 12 || ':()V' AS sub_sig FROM part)
 SELECT w.class_id, w.sub_sig, min_by(a.ancestor_id, a.depth) AS declaring_id
-FROM w JOIN anc a USING (class_id) JOIN fx_methods m ON m.class_id = a.ancestor_id AND m.sub_sig = w.sub_sig WHERE a.class_id % 3 <> 1 GROUP BY 1, 2""",
+FROM w JOIN anc a USING (class_id) JOIN fx_methods m ON m.class_id = a.ancestor_id AND m.sub_sig = w.sub_sig GROUP BY 1, 2""",
 )
 def nearest_declaration(f):
     _, anc = tree(f)
-    wanted = f["part"].where("p_partkey % 3 <> 1").selectExpr("p_partkey AS class_id", "concat('m', p_size % 12, ':()V') AS sub_sig")
+    wanted = f["part"].selectExpr("p_partkey AS class_id", "concat('m', p_size % 12, ':()V') AS sub_sig")
     return H.nearest_ancestor(anc, f["fx_methods"], wanted, "sub_sig")
 
 
@@ -46,53 +46,56 @@ _SS = [("m1", "source"), ("m2", "sink"), ("m3", "sink"), ("m5", "source")]
 
 
 def ss_list(f):
-    """Listed signatures: four methods of every class whose id is below 200."""
+    """Listed signatures: one method of most class names; the list grows with the classes."""
     rows = local_table(f.spark, [(n, r) for n, r in _SS], "m string, role string")
+    number = F.col("number")
     return (
-        f["fx_classes"].where("class_id < 200").join(rows, F.expr("substr(m, 2) = cast(class_id % 6 AS string)"))
+        f["fx_app_classes"].select("class_name", "number").distinct().join(rows, F.expr("substr(m, 2) = cast(number % 6 AS string)"))
         .select(
             F.concat(F.lit("L"), F.translate("class_name", ".", "/"), F.lit(";."), F.col("m"), F.lit(":()V")).alias("signature"),
             "role",
-            F.when(F.col("role") == "sink", F.array((F.col("class_id") % 3).cast("int"))).otherwise(F.array().cast("array<int>")).alias("positions"),
-            F.array(F.concat(F.lit("T"), (F.col("class_id") % 4).cast("string"))).alias("tags"),
+            F.when(F.col("role") == "sink", F.array((number % 3).cast("int"))).otherwise(F.array().cast("array<int>")).alias("positions"),
+            F.array(F.concat(F.lit("T"), (number % 4).cast("string"))).alias("tags"),
         )
     )
 
 
-def subtype_calls(f):
-    return f["fx_methods"].join(f["fx_classes"].select("class_id", "class_name"), "class_id").select(
-        "method_id",
-        F.concat(F.lit("L"), F.translate("class_name", ".", "/"), F.lit(";."), F.col("sub_sig")).alias("callee_sig"),
-    )
-
-
 def subtype_matches(f):
-    classes, anc = tree(f)
-    names = classes.select("class_id", "class_name")
-    above = names.select(F.col("class_id").alias("ancestor_id"), F.col("class_name").alias("ancestor_name"))
-    return H.match_by_subtype(
-        subtype_calls(f), anc.join(names, "class_id").join(above, "ancestor_id").select("class_name", "ancestor_name"), ss_list(f)
+    """A call of every class's method by the app that has the class."""
+    classes = f["fx_app_classes"]
+    anc = H.ancestors(classes, H.super_edges(classes, "super_id"))
+    names = classes.select("app_id", "class_id", "class_name")
+    above = classes.select(F.col("class_id").alias("ancestor_id"), F.col("class_name").alias("ancestor_name"))
+    calls = classes.select(
+        "app_id",
+        F.col("class_id").alias("method_id"),
+        F.concat(F.lit("L"), F.translate("class_name", ".", "/"), F.lit(";."), F.col("sub_sig")).alias("callee_sig"),
     )
+    ancestor_names = anc.join(names, "class_id").join(above, "ancestor_id").select("app_id", "class_name", "ancestor_name")
+    return H.match_by_subtype(calls, ancestor_names, ss_list(f))
 
 
 _SS_SQL = """
-l AS (SELECT class_id, 'm' || class_id % 6 || ':()V' AS sub_sig, CASE class_id % 6 WHEN 1 THEN 'source' WHEN 2 THEN 'sink' WHEN 3 THEN 'sink' ELSE 'source' END AS role
-  FROM fx_classes WHERE class_id < 200 AND class_id % 6 IN (1, 2, 3, 5)),
-mt AS (SELECT m.method_id, m.class_id, l.class_id AS listed_id, l.role FROM fx_methods m JOIN anc a USING (class_id)
-  JOIN l ON l.class_id = a.ancestor_id AND l.sub_sig = m.sub_sig)"""
+WITH RECURSIVE anc AS (
+  SELECT class_id, class_id AS ancestor_id FROM fx_app_classes
+  UNION SELECT a.class_id, c.super_id FROM anc a JOIN fx_app_classes c ON c.class_id = a.ancestor_id WHERE c.super_id IS NOT NULL),
+l AS (SELECT DISTINCT class_name, number, 'm' || number % 6 || ':()V' AS sub_sig, CASE number % 6 WHEN 1 THEN 'source' WHEN 2 THEN 'sink' WHEN 3 THEN 'sink' ELSE 'source' END AS role
+  FROM fx_app_classes WHERE number % 6 IN (1, 2, 3, 5)),
+mt AS (SELECT m.app_id, m.class_id AS method_id, l.class_name, l.number, l.role FROM fx_app_classes m JOIN anc a USING (class_id)
+  JOIN fx_app_classes c ON c.class_id = a.ancestor_id JOIN l ON l.class_name = c.class_name AND l.sub_sig = m.sub_sig)"""
 
 
-@query("e5_subtype_matches", f"{_ANC_SQL}, {_SS_SQL} SELECT method_id, c.class_name AS listed_class, role FROM mt JOIN fx_classes c ON c.class_id = mt.listed_id")
+@query("e5_subtype_matches", f"{_SS_SQL} SELECT app_id, method_id, class_name AS listed_class, role FROM mt")
 def e5_subtype_matches(f):
     cls = F.translate(F.regexp_extract("listed_signature", r"^L([^;]+);", 1), "/", ".")
-    return subtype_matches(f).select("method_id", cls.alias("listed_class"), "role")
+    return subtype_matches(f).select("app_id", "method_id", cls.alias("listed_class"), "role")
 
 
 @query(
     "f12_merged_tags",
-    f"""{_ANC_SQL}, {_SS_SQL}
-SELECT DISTINCT method_id, 'tag' AS what, 'T' || listed_id % 4 AS value FROM mt
-UNION SELECT method_id, 'position', CAST(listed_id % 3 AS VARCHAR) FROM mt WHERE role = 'sink'""",
+    f"""{_SS_SQL}
+SELECT DISTINCT method_id, 'tag' AS what, 'T' || number % 4 AS value FROM mt
+UNION SELECT method_id, 'position', CAST(number % 3 AS VARCHAR) FROM mt WHERE role = 'sink'""",
 )
 def merged_tags(f):
     return H.merge_tags(subtype_matches(f), ["method_id"])
@@ -148,7 +151,7 @@ def override_callbacks(f):
 
 
 _USES_SQL = """
-u AS (SELECT DISTINCT component_id AS component, CASE WHEN contains(callee_sig, 'setOnClick') THEN 0 WHEN contains(callee_sig, 'LocationListener') THEN 1 ELSE 2 END AS listener_id
+u AS (SELECT DISTINCT app_id, component_id AS component, CASE WHEN contains(callee_sig, 'setOnClick') THEN 0 WHEN contains(callee_sig, 'LocationListener') THEN 1 ELSE 2 END AS listener_id
   FROM fx_listener_calls WHERE NOT contains(callee_sig, 'String'))"""
 
 
@@ -158,34 +161,43 @@ def registrations(f):
     return H.registration_callbacks(calls, classes, anc, f["fx_listener_methods"])
 
 
-@query(
-    "e16_registration_callbacks",
-    f"""{_LANC_SQL}, {_USES_SQL.strip()},
-below AS (SELECT DISTINCT u.listener_id, a.class_id FROM u JOIN anc a ON a.ancestor_id = u.listener_id JOIN fx_listener_classes c ON c.class_id = a.class_id
-  WHERE c.is_concrete AND NOT starts_with(c.class_name, 'android.')),
+_REGISTERED_SQL = f"""{_LANC_SQL}, {_USES_SQL.strip()},
+below AS (SELECT DISTINCT u.app_id, u.listener_id, a.class_id FROM u JOIN anc a ON a.ancestor_id = u.listener_id
+  JOIN fx_listener_classes c ON c.class_id = a.class_id AND c.app_id = u.app_id WHERE c.is_concrete AND NOT starts_with(c.class_name, 'android.')),
 w AS (SELECT DISTINCT a.class_id, m.sub_sig FROM anc a JOIN fx_listener_classes c ON c.class_id = a.ancestor_id AND c.is_interface
   JOIN fx_listener_methods m ON m.class_id = a.ancestor_id WHERE a.class_id IN (SELECT class_id FROM below)),
 d AS (SELECT w.class_id, w.sub_sig, min_by(a.ancestor_id, a.depth * CAST(1000000000 AS BIGINT) + a.ancestor_id) AS declaring_id FROM w JOIN anc a USING (class_id)
-  JOIN fx_listener_methods m ON m.class_id = a.ancestor_id AND m.sub_sig = w.sub_sig GROUP BY 1, 2)
-SELECT below.listener_id, d.class_id, d.declaring_id, d.sub_sig FROM below JOIN d USING (class_id)
-JOIN fx_listener_classes c ON c.class_id = d.declaring_id WHERE NOT starts_with(c.class_name, 'android.')""",
-)
+  JOIN fx_listener_methods m ON m.class_id = a.ancestor_id AND m.sub_sig = w.sub_sig GROUP BY 1, 2),
+c AS (SELECT below.app_id, below.listener_id, d.class_id, d.declaring_id, d.sub_sig FROM below JOIN d USING (class_id)
+  JOIN fx_listener_classes c ON c.class_id = d.declaring_id WHERE NOT starts_with(c.class_name, 'android.'))"""
+
+
+@query("e16_registration_callbacks", f"{_REGISTERED_SQL} SELECT * FROM c")
 def registration_callbacks(f):
-    """Callback methods per registered listener type."""
+    """Callback methods per app and registered listener type."""
     return registrations(f).callbacks
 
 
-@query("e16_registered_listeners", f"WITH {_USES_SQL.strip()} SELECT component, listener_id FROM u")
+@query(
+    "e16_component_callbacks",
+    f"{_REGISTERED_SQL} SELECT DISTINCT u.app_id, u.component, c.class_id, c.declaring_id, c.sub_sig FROM u JOIN c USING (app_id, listener_id)",
+)
+def component_callbacks(f):
+    """The same for each component; apps have components of equal names."""
+    return registrations(f).expand()
+
+
+@query("e16_registered_listeners", f"WITH {_USES_SQL.strip()} SELECT app_id, component, listener_id FROM u")
 def registered_listeners(f):
     return registrations(f).uses
 
 
-_LAYOUT_SQL = """SELECT DISTINCT class_id, CAST(value AS BIGINT) AS layout_id FROM fx_layout_calls
+_LAYOUT_SQL = """SELECT DISTINCT app_id, class_id, CAST(value AS BIGINT) AS layout_id FROM fx_layout_calls
 WHERE callee_sig LIKE '%.setContentView:(I)V' AND kind = 'int'"""
 
 
 def layouts(f):
-    return H.class_layouts(f["fx_layout_calls"].select("site_id", "class_id", "callee_sig"), f["fx_layout_calls"].select("site_id", "arg_idx", "kind", "value"))
+    return H.class_layouts(f["fx_layout_calls"].select("app_id", "site_id", "class_id", "callee_sig"), f["fx_layout_calls"].select("app_id", "site_id", "arg_idx", "kind", "value"))
 
 
 @query("e13_class_layouts", _LAYOUT_SQL)
@@ -196,8 +208,8 @@ def class_layouts(f):
 @query(
     "e14_layout_callbacks",
     f"""{_ANC_SQL},
-cl AS ({_LAYOUT_SQL}), al AS (SELECT * FROM cl UNION SELECT class_id, included_id FROM cl JOIN fx_layout_includes USING (layout_id)),
-w AS (SELECT DISTINCT class_id, method_name FROM al JOIN fx_layout_handlers USING (layout_id))
+cl AS ({_LAYOUT_SQL}), al AS (SELECT * FROM cl UNION SELECT app_id, class_id, included_id FROM cl JOIN fx_layout_includes USING (app_id, layout_id)),
+w AS (SELECT DISTINCT class_id, method_name FROM al JOIN fx_layout_handlers USING (app_id, layout_id))
 SELECT w.class_id, w.method_name, min_by(a.ancestor_id, a.depth) AS declaring_id FROM w JOIN anc a USING (class_id)
 JOIN fx_methods m ON m.class_id = a.ancestor_id AND split_part(m.sub_sig, ':', 1) = w.method_name GROUP BY 1, 2""",
 )

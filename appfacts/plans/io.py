@@ -96,11 +96,13 @@ def staged_components(f):
     return S.read_staged(f.spark, folder, "components").select("app_id", "component", "comp_type", "exported", "enabled", "permission")
 
 
-@query("b4_graph_files", "SELECT app_id, use_node, def_node, 'edge' AS what FROM fx_dep_edges UNION ALL SELECT DISTINCT app_id, use_node, NULL, 'node' FROM fx_dep_edges")
+@query("b4_graph_files", "SELECT app_id, use_node, def_node, 'edge' AS what FROM fx_dep_edges UNION ALL SELECT DISTINCT app_id, node, NULL, 'node'"
+       " FROM (SELECT app_id, use_node AS node FROM fx_dep_edges UNION ALL SELECT app_id, def_node FROM fx_dep_edges)")
 def graph_files(f):
     folder = new_folder(f.spark)
     e = f["fx_dep_edges"]
-    S.write_graph(e.select("app_id", F.col("use_node").alias("node")).distinct(), e, folder)
+    ends = e.select("app_id", F.explode(F.array("use_node", "def_node")).alias("node")).distinct()
+    S.write_graph(ends, e, folder)
     nodes = f.spark.read.parquet(f"{folder}/nodes").select("app_id", F.col("node").alias("use_node"), F.lit(None).cast("bigint").alias("def_node"), F.lit("node").alias("what"))
     return f.spark.read.parquet(f"{folder}/edges").withColumn("what", F.lit("edge")).unionByName(nodes)
 

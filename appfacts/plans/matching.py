@@ -268,16 +268,69 @@ def incoming_calls(f):
     return M.incoming_counts(intents(f), components(f), filters(f))
 
 
-def icc_edges(f):
-    callers = intents(f).withColumn("caller_node", F.concat(F.lit("call|"), F.col("intent_id").cast("string")))
-    entries = components(f).withColumn("entry_node", F.concat(F.lit("entry|"), F.col("component_id").cast("string")))
-    return M.link_icc(callers, entries, filters(f))
+def icc_edges(f, caller="concat('call|', intent_id)", entry="concat('entry|', component_id)", resolved=False):
+    """Links between all apps; nodes by SQL expressions.  ``resolved`` takes every intent as completely known."""
+    callers = intents(f).withColumn("caller_node", F.expr(caller))
+    if resolved:
+        callers = callers.withColumns({"precise_explicit": F.lit(True), "precise_implicit": F.lit(True)})
+    return M.link_icc(callers, components(f).withColumn("entry_node", F.expr(entry)), filters(f))
 
 
-@query("e3_icc_edges")
+def _request_texts(f):
+    """Readable text per request."""
+    dash = F.lit("-")
+    parts = ("action", "category", "u_scheme", "u_host", "u_path", "mime")
+    return (
+        _content_columns(M.with_request_id(intents(f)))
+        .select("request_id", F.concat_ws("|", *[F.coalesce(F.col(c), dash) for c in parts]).alias("request_text"))
+        .distinct()
+    )
+
+
+def readable(edges, f):
+    """Edges whose hubs carry the text of a filter or request instead of its hash."""
+    texts = _shape_texts(f).toDF("id", "text").unionByName(_request_texts(f).toDF("id", "text"))
+    for end in ("use_node", "def_node"):
+        hashed = F.regexp_extract(end, r"^hub\|(?:shape|request)\|[^|]*\|([0-9a-f]{64})$", 1)
+        edges = (
+            edges.withColumn("id", hashed).join(texts, "id", "left")
+            .withColumn(end, F.when(F.col("text").isNull(), F.col(end)).otherwise(F.concat(F.substring_index(end, "|", 3), F.lit("|"), "text")))
+            .drop("id", "text")
+        )
+    return edges
+
+
+_REQUEST_TEXT = "concat_ws('|', " + ", ".join(
+    f"coalesce(i.{c}, '-')" for c in ("action", "category", "u_scheme", "u_host", "u_path", "mime")
+) + ")"
+_FILTER_TEXT = "concat_ws('|', " + ", ".join(
+    f"coalesce(x.{c}, '-')" for c in ("action", "category", "scheme", "host", "path_prefix", "mime")
+) + ")"
+ICC_EDGE_SQL = f"""{_BASE_SQL.strip()},
+calls AS (SELECT i.*, 'call|' || intent_id AS call_node, {_REQUEST_TEXT} AS request FROM iu i),
+ends AS (SELECT 'entry|' || component_id AS entry, * FROM fx_components),
+shaped AS (SELECT DISTINCT 'entry|' || x.component_id AS entry, x.comp_type, {_FILTER_TEXT} AS shape FROM xf x),
+fits AS (SELECT DISTINCT {_FILTER_TEXT} AS shape, {_REQUEST_TEXT} AS request
+  FROM (SELECT DISTINCT action, category, uri, u_scheme, u_host, u_path, mime FROM iu) i
+  JOIN (SELECT DISTINCT action, category, scheme, host, path_prefix, mime FROM xf) x ON {_MATCH_SQL}),
+icc AS (
+  SELECT entry AS use_node, 'hub|kind|' || comp_type AS def_node FROM ends
+  UNION SELECT 'hub|kind|' || comp_type, call_node FROM calls WHERE NOT precise_explicit
+  UNION SELECT entry, 'hub|kind+filter|' || comp_type FROM shaped
+  UNION SELECT 'hub|kind+filter|' || comp_type, call_node FROM calls WHERE NOT precise_implicit
+  UNION SELECT entry, 'hub|name|' || comp_type || '|' || component FROM ends
+  UNION SELECT 'hub|name|' || comp_type || '|' || component, call_node FROM calls WHERE component IS NOT NULL
+  UNION SELECT entry, 'hub|shape|' || comp_type || '|' || shape FROM shaped
+  UNION SELECT 'hub|shape|' || k.comp_type || '|' || fits.shape, 'hub|request|' || k.comp_type || '|' || fits.request FROM fits
+    JOIN (SELECT DISTINCT comp_type, shape FROM shaped) k USING (shape) JOIN (SELECT DISTINCT comp_type, request FROM calls) r
+    ON r.comp_type = k.comp_type AND r.request = fits.request
+  UNION SELECT 'hub|request|' || comp_type || '|' || request, call_node FROM calls)"""
+
+
+@query("e3_icc_edges", f"{ICC_EDGE_SQL} SELECT use_node, def_node FROM icc")
 def icc_edge_rows(f):
-    """The links as a graph through hubs."""
-    return icc_edges(f)
+    """The links as a graph through hubs, which are named by what they stand for."""
+    return readable(icc_edges(f), f)
 
 
 @query(
