@@ -16,7 +16,7 @@ from appfacts.session import ensure_checkpoint_dir
 BATCH_BYTES = 4 << 20
 
 
-ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES, UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,7 @@ def workers_import(spark: SparkSession) -> None:
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
     # Batches of 10,000 rows may be of any size; a worker and its executor hold several at a time.
-    if int(spark.conf.get(ARROW_BYTES, str(1 << 31))) > 2 * BATCH_BYTES:
+    if spark.conf.get(ARROW_BYTES, UNSET) == UNSET:
         spark.conf.set(ARROW_BYTES, str(2 * BATCH_BYTES))
 
 
