@@ -78,14 +78,18 @@ def url_cascade(urls: DataFrame) -> DataFrame:
 PIECE_LENGTHS = [32, 16, 8, 4, 2, 1]
 
 
-def contained_in(needles: DataFrame, needle: str, entries: DataFrame, entry: str) -> DataFrame:
+def contained_in(
+    needles: DataFrame, needle: str, entries: DataFrame, entry: str, keep: list[str] | None = None
+) -> DataFrame:
     """(needle, entry) pairs with the needle inside the entry, by equality joins only.
 
-    A needle is looked up by its last 32 (16, 8, …) characters among all pieces of that length of the entries.  Where
-    a piece occurs, the entry's text before it is cut to each length that needles with this piece have, and the cut
-    text must equal a needle.  A piece shared by many needles and many entries therefore makes no pairs of its own.
+    ``keep`` names columns of ``entries`` to return in place of the entry, each combination once.  A needle is looked
+    up by its last 32 (16, 8, …) characters among all pieces of that length of the entries.  Where a piece occurs, the
+    entry's text before it is cut to each length that needles with this piece have, and the cut text must equal a
+    needle.  A piece shared by many needles and many entries therefore makes no pairs of its own.
     """
     n, e = F.col(needle), F.col(entry)
+    keep = [entry] if keep is None else list(keep)
     length = F.lit(PIECE_LENGTHS[-1])
     for p in reversed(PIECE_LENGTHS):
         length = F.when(F.length(n) >= p, F.lit(p)).otherwise(length)
@@ -95,11 +99,12 @@ def contained_in(needles: DataFrame, needle: str, entries: DataFrame, entry: str
         .select("__len", F.right(n, F.col("__len")).alias("__piece"), F.length(n).alias("__n"))
         .distinct()
     )
+    used = [r[0] for r in lengths.select("__len").distinct().collect()]  # some of PIECE_LENGTHS
     pieces = (
-        entries.select(entry)
+        entries.select(*dict.fromkeys([entry, *keep]))
         .where(e.isNotNull())
         .distinct()
-        .withColumn("__len", F.explode(F.array(*[F.lit(p) for p in PIECE_LENGTHS])))
+        .withColumn("__len", F.explode(F.array(*[F.lit(p) for p in used]).cast("array<int>")))
         .where(F.length(e) >= F.col("__len"))
         .withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(e) - F.col("__len") + 1)))
         .withColumn("__piece", F.substring(e, F.col("__at"), F.col("__len")))
@@ -108,10 +113,10 @@ def contained_in(needles: DataFrame, needle: str, entries: DataFrame, entry: str
     cut = (
         pieces.join(lengths, ["__len", "__piece"])
         .where(start >= 1)
-        .select(entry, F.substring(e, start, F.col("__n")).alias("__text"))
+        .select(*keep, F.substring(e, start, F.col("__n")).alias("__text"))
         .distinct()
     )
-    return cut.join(wanted.withColumn("__text", n), "__text").select(needle, entry)
+    return cut.join(wanted.withColumn("__text", n), "__text").select(needle, *keep)
 
 
 def url_permission_join(app_urls: DataFrame, url_lists: DataFrame) -> DataFrame:
@@ -120,9 +125,7 @@ def url_permission_join(app_urls: DataFrame, url_lists: DataFrame) -> DataFrame:
     ``url_lists`` has list_name and entry.  Apps without a listed URL have no row for that list.
     """
     urls = app_urls.select("app_id", "url").distinct()
-    listed = (
-        contained_in(urls, "url", url_lists, "entry").join(url_lists, "entry").select("list_name", "url").distinct()
-    )
+    listed = contained_in(urls, "url", url_lists, "entry", ["list_name"])
     n_urls = urls.groupBy("app_id").agg(F.count(F.lit(1)).alias("n_urls"))
     # One URL may occur in a large share of the apps.
     n_listed = skew_join(urls, listed, ["url"]).groupBy("app_id", "list_name").agg(F.count(F.lit(1)).alias("n_listed"))

@@ -51,12 +51,13 @@ def frequency_cells(stats: DataFrame, metric: str) -> DataFrame:
     return stats.groupBy("app_id", F.col(metric).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def frequency_matrix(stats: DataFrame, metric: str) -> DataFrame:
-    """The same with one column per observed value; blank where there is none.
+def frequency_matrix(stats: DataFrame, metric: str, values: list | None = None) -> DataFrame:
+    """The same with one column per value; blank where there is none.
 
-    Spark refuses to make more columns than ``spark.sql.pivotMaxValues``; use ``frequency_cells`` then.
+    With ``values`` the columns are those, and nothing is collected.  Without, Spark collects the observed values and
+    refuses to make more columns than ``spark.sql.pivotMaxValues``; use ``frequency_cells`` then.
     """
-    return frequency_cells(stats, metric).groupBy("app_id").pivot("value").agg(F.first("n"))
+    return frequency_cells(stats, metric).groupBy("app_id").pivot("value", values).agg(F.first("n"))
 
 
 # --- hidden APIs --------------------------------------------------------------------------------------------------
@@ -198,6 +199,14 @@ def run_summary(apps: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def run_apps(apps: DataFrame, results: DataFrame) -> DataFrame:
+    """(app_id, status, n_paths): every app of a run as ``no result``, ``no path`` or ``path``."""
+    joined = apps.select("app_id").distinct().join(results.select("app_id", "n_paths"), "app_id", "left")
+    n = F.col("n_paths")
+    status = F.when(n.isNull(), "no result").when(n > 0, "path").otherwise("no path")
+    return joined.select("app_id", status.alias("status"), n.cast("bigint").alias("n_paths"))
+
+
 def signer_groups(certificates: DataFrame) -> DataFrame:
     """(sha256, n_apps): how many apps share a certificate; members are in ``signer_members``."""
     return signer_members(certificates).groupBy("sha256").agg(F.count(F.lit(1)).alias("n_apps"))

@@ -16,6 +16,7 @@ from appfacts.operators.matching import resolve_intents
 from appfacts.plans import matching as MQ
 from appfacts.plans.manifest import EFFECTIVE_SQL, components
 from appfacts.plans.registry import query
+from appfacts.plans.taint import _PAIR_SQL
 from appfacts.session import ensure_checkpoint_dir
 from appfacts.sinks import staged as S
 from appfacts.sources.archives import archive_flags
@@ -23,6 +24,9 @@ from appfacts.sources.lines import read_code_units, read_source_sink_list
 from appfacts.streaming.ingest import ingest_apps, stage_status, with_status
 
 
+T_SQL = _PAIR_SQL.split("WITH RECURSIVE ", 1)[1]
+
+
 def new_folder(spark) -> str:
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/appfacts-{uuid.uuid4().hex}"
@@ -56,19 +60,14 @@ def archives(f):
     return archive_flags(files).select("uri", "is_valid", "is_decompilable", F.col("error").isNotNull().alias("unreadable"))
 
 
-@query("a5_code_units", "SELECT p_partkey % 10 AS app_id, 'p.C' || p_partkey AS class_name, 'application' AS origin, 'code ' || p_name AS code FROM part WHERE p_partkey < 40"
-       " UNION ALL SELECT 10 + p_size % 5, 'q.D' || p_size, 'library', 'n ' || COUNT(*) FROM part WHERE p_partkey >= 40 GROUP BY p_size")
+@query("a5_code_units", "SELECT p_partkey % 10 AS app_id, 'p.C' || p_partkey AS class_name, CASE WHEN p_size % 3 = 0 THEN 'library' ELSE 'application' END AS origin,"
+       " 'code ' || p_name AS code FROM part")
 def code_units(f):
-    """One text file per unit: some parts one by one, the others summed up by size."""
+    """One text file per class."""
     folder = new_folder(f.spark)
-    p = f["part"]
-    single = p.where("p_partkey < 40").selectExpr(
-        "p_partkey % 10 AS app_id", "'application' AS origin", "concat('p.C', p_partkey) AS class_name", "concat('code ', p_name) AS value"
-    )
-    rest = p.where("p_partkey >= 40").groupBy("p_size").agg(F.count(F.lit(1)).alias("n")).selectExpr(
-        "10 + p_size % 5 AS app_id", "'library' AS origin", "concat('q.D', p_size) AS class_name", "concat('n ', n) AS value"
-    )
-    single.unionByName(rest).write.partitionBy("app_id", "origin", "class_name").text(folder)
+    f["part"].selectExpr(
+        "p_partkey % 10 AS app_id", "CASE WHEN p_size % 3 = 0 THEN 'library' ELSE 'application' END AS origin", "concat('p.C', p_partkey) AS class_name", "concat('code ', p_name) AS value"
+    ).write.partitionBy("app_id", "origin", "class_name").text(folder)
     return read_code_units(f.spark, folder).withColumn("code", F.rtrim(F.col("code"), F.lit("\n")))
 
 
@@ -133,38 +132,65 @@ def permissions(f):
     return f["fx_components"].where("permission_attr IS NOT NULL").select("app_id", F.col("permission_attr").alias("permission")).distinct()
 
 
+def _json_list(c: str) -> str:
+    return f"""'[' || coalesce('"' || {c} || '"', '') || ']'"""
+
+
+_FILTER_JSON = f"""'"actions":' || {_json_list("x.action")} || ',"categories":' || {_json_list("x.category")} || ',"data":{{"schemes":' || {_json_list("x.scheme")}
+  || ',"authorities":[' || coalesce('{{"host":"' || x.host || '"}}', '') || '],"paths":[],"path_prefixes":' || {_json_list("x.path_prefix")} || ',"path_patterns":[],"mimes":'
+  || {_json_list("x.mime")} || '}}}}'"""
+_CALL_JSON = f"""'{{"comp_type":"' || comp_type || '","component_names":' || {_json_list("component")} || ',"actions":' || {_json_list("action")} || ',"categories":' || {_json_list("category")}
+  || ',"uris":[' || CASE WHEN uri IS NULL THEN '' ELSE '{{' || concat_ws(',', '"scheme":"' || u_scheme || '"', '"host":"' || u_host || '"', '"path":"' || u_path || '"') || '}}' END
+  || '],"mimes":' || {_json_list("mime")} || ',"precise_explicit":' || precise_explicit || ',"precise_implicit":' || precise_implicit || ',"n_intents":' || n_intents || '}}'"""
+
+
 @query(
     "b2_app_report",
-    """
-SELECT app_id, 'permission' AS section, COUNT(DISTINCT permission_attr) AS n_items FROM fx_components WHERE permission_attr IS NOT NULL GROUP BY 1
-UNION ALL SELECT app_id, 'component', COUNT(*) FROM fx_components GROUP BY 1
-UNION ALL SELECT app_id, 'filter', COUNT(*) FROM fx_filters JOIN fx_components USING (component_id) GROUP BY 1
-UNION ALL SELECT app_id, 'icc_call', COUNT(*) FROM (SELECT DISTINCT app_id, comp_type, component, action, category, uri, mime, precise_explicit, precise_implicit FROM fx_intents) GROUP BY 1
-UNION ALL SELECT app_id, 'taint_' || role, COUNT(*) FROM fx_taint_nodes GROUP BY 1, role""",
+    f"""{MQ._E2_SQL.strip().replace("WITH ", "WITH RECURSIVE ", 1)},
+{T_SQL},
+eff AS ({EFFECTIVE_SQL})
+SELECT DISTINCT app_id, 'permission' AS section, permission_attr AS item, '{{"permission":"' || permission_attr || '"}}' AS body FROM fx_components WHERE permission_attr IS NOT NULL
+UNION ALL SELECT app_id, 'component', component, '{{"component":"' || component || '","comp_type":"' || comp_type || '","exported":' || exported || ',"enabled":' || enabled
+  || coalesce(',"permission":"' || permission || '"', '') || '}}' FROM eff
+UNION ALL SELECT x.app_id, 'filter', x.component || '#' || filter_id, '{{"component":"' || x.component || '",' || {_FILTER_JSON} FROM xf x
+UNION ALL SELECT app_id, 'icc_call', NULL, {_CALL_JSON} FROM i
+UNION ALL SELECT app_id, 'icc_target', NULL, 'COMPONENT|EXPLICIT' FROM i WHERE component IS NOT NULL
+UNION ALL SELECT app_id, 'icc_target', NULL, CASE WHEN NOT precise_explicit THEN 'KIND|EXPLICIT' ELSE 'KIND_WITH_FILTER|IMPLICIT' END FROM i WHERE NOT (precise_explicit AND precise_implicit)
+UNION ALL SELECT app_id, 'icc_target', NULL, 'FILTER|IMPLICIT' FROM t WHERE scope = 'FILTER'
+UNION ALL SELECT app_id, 'taint_' || role, CAST(node AS VARCHAR), '{{"node":' || node || ',"category":"' || category || '","descriptor":"' || descriptor || '"}}' FROM fx_taint_nodes
+UNION ALL SELECT app_id, 'taint_path', source || '->' || sink || '->' || problem, '{{"source":' || source || ',"sink":' || sink || ',"problem":"' || problem || '"}}'
+  FROM pairs WHERE problem IS NOT NULL""",
 )
 def app_report(f):
-    """Items per section of every app's report; targets and paths are compared in their own queries."""
+    """All rows of every app's report.  Calls are named by hashes, so their items are left out of the comparison, and
+    targets are compared by scope and type here and by content in e2."""
     r = resolve_intents(MQ.intents(f), MQ.filters(f))
     pairs = T.taint_reachability(f["fx_dep_edges"], f["fx_taint_nodes"])
     report = R.app_report(permissions(f), components(f), MQ.filters(f), r.calls, r.targets, f["fx_taint_nodes"], pairs)
-    return R.report_header(report.where(~F.col("section").isin("icc_target", "taint_path")))
+    target = F.concat_ws("|", F.get_json_object("body", "$.scope"), F.get_json_object("body", "$.target_type"))
+    return report.select(
+        "app_id",
+        "section",
+        F.when(~F.col("section").startswith("icc_"), F.col("item")).alias("item"),
+        F.when(F.col("section") == "icc_target", target).otherwise(F.col("body")).alias("body"),
+    )
 
 
 @query(
     "b3_summary_report",
     f"""
 WITH c AS ({EFFECTIVE_SQL}), k AS (SELECT *, CASE comp_type WHEN 'ACTIVITY' THEN 'activities' WHEN 'RECEIVER' THEN 'receivers' WHEN 'SERVICE' THEN 'services' END AS section FROM c)
-SELECT app_id, 'permissions' AS section, permission_attr AS item FROM fx_components WHERE permission_attr IS NOT NULL GROUP BY ALL
-UNION ALL SELECT app_id, section, component FROM k WHERE section IS NOT NULL
-UNION ALL SELECT k.app_id, section, component || '/Filter1' FROM k JOIN fx_components fc USING (app_id, component) JOIN fx_filters x ON x.component_id = fc.component_id WHERE section IS NOT NULL
-UNION ALL SELECT DISTINCT app_id, 'libraries', 'com.tapjoy.' FROM fx_code_units WHERE class_name LIKE 'com.tapjoy.%'
-UNION ALL SELECT DISTINCT app_id, 'urls', url FROM fx_page_urls""",
+SELECT app_id, 'permissions' AS section, permission_attr AS item, '{{}}' AS body FROM fx_components WHERE permission_attr IS NOT NULL GROUP BY ALL
+UNION ALL SELECT app_id, section, component, '{{"exported":' || exported || coalesce(',"permission":"' || permission || '"', '') || '}}' FROM k WHERE section IS NOT NULL
+UNION ALL SELECT k.app_id, section, component || '/Filter1', '{{' || {_FILTER_JSON} FROM k JOIN fx_components fc USING (app_id, component) JOIN fx_filters x ON x.component_id = fc.component_id WHERE section IS NOT NULL
+UNION ALL SELECT DISTINCT app_id, 'libraries', 'com.tapjoy.', '{{}}' FROM fx_code_units WHERE class_name LIKE 'com.tapjoy.%'
+UNION ALL SELECT DISTINCT app_id, 'urls', url, '{{}}' FROM fx_page_urls""",
 )
 def summary_report(f):
     from appfacts.operators.manifest import used_library_prefixes
 
     libraries = used_library_prefixes(f["fx_code_units"]).withColumnRenamed("prefix", "library")
-    return R.summary_report(permissions(f), components(f), MQ.filters(f), libraries, f["fx_page_urls"]).drop("body")
+    return R.summary_report(permissions(f), components(f), MQ.filters(f), libraries, f["fx_page_urls"])
 
 
 @query(

@@ -206,10 +206,13 @@ def resolve_intents(f):
     """What every intent can start: one row per different intent of an app and target, with the numbers they stand for."""
     r = M.resolve_intents(intents(f), filters(f))
     calls = _content_columns(r.calls.withColumn("name", _one("component_names")))
+    counts = M.target_counts(r, components(f), filters(f))
+    # Only filter shapes have a text to look up; the other targets are a few kinds and names.
+    shaped = counts.where("scope = 'FILTER'").join(_shape_texts(f).withColumnRenamed("shape_id", "target"), "target", "left")
+    rest = counts.where("scope <> 'FILTER'").withColumn("filter_text", F.lit(None).cast("string"))
     return (
-        M.target_counts(r, components(f), filters(f))
+        shaped.unionByName(rest)
         .join(calls.drop("app_id"), "call_id")
-        .join(_shape_texts(f).withColumnRenamed("shape_id", "target"), "target", "left")
         .select(
             "app_id", "comp_type", "name", "action", "category", "u_scheme", "u_host", "u_path", "mime", "precise_explicit",
             "precise_implicit", "n_intents", "scope", F.coalesce("filter_text", "target").alias("target"), "target_type", "n_targets",

@@ -83,7 +83,7 @@ au AS (SELECT DISTINCT app_id, url FROM fx_page_urls),
 hit AS (SELECT DISTINCT u.url, l.list_name FROM (SELECT DISTINCT url FROM au) u JOIN lists l ON contains(l.entry, u.url)),
 c AS (SELECT au.app_id, hit.list_name, COUNT(*) AS n_listed FROM au JOIN hit USING (url) GROUP BY 1, 2),
 n AS (SELECT app_id, COUNT(*) AS n_urls FROM au GROUP BY 1),
-perm AS (SELECT DISTINCT app_id, 'perm.' || component_id % 9 || comp_type AS permission FROM fx_components WHERE component_id % 11 = app_id % 11)"""
+perm AS (SELECT DISTINCT app_id, 'perm.' || CAST(FLOOR(component_id / 30.0) AS BIGINT) || comp_type AS permission FROM fx_components)"""
 
 
 def url_lists(f):
@@ -96,7 +96,7 @@ def url_lists(f):
 
 
 def permissions(f):
-    return f["fx_components"].where("component_id % 11 = app_id % 11").selectExpr("app_id", "concat('perm.', component_id % 9, comp_type) AS permission").distinct()
+    return f["fx_components"].selectExpr("app_id", "concat('perm.', CAST(FLOOR(component_id / 30.0) AS BIGINT), comp_type) AS permission").distinct()
 
 
 @query("e19_listed_urls", f"WITH {_LIST_SQL.strip()} SELECT c.app_id, c.list_name, n.n_urls, c.n_listed FROM c JOIN n USING (app_id)")

@@ -100,6 +100,28 @@ def run_summary(f):
     return S.run_summary(a, a.where("app_id % 5 <> 0").selectExpr("app_id", "app_id % 3 AS n_paths"))
 
 
+@query(
+    "f11_run_apps",
+    """SELECT app_id, CASE WHEN app_id % 5 = 0 THEN 'no result' WHEN app_id % 3 > 0 THEN 'path' ELSE 'no path' END AS status,
+  CASE WHEN app_id % 5 <> 0 THEN app_id % 3 END AS n_paths FROM fx_apps""",
+)
+def run_apps(f):
+    a = f["fx_apps"]
+    return S.run_apps(a, a.where("app_id % 5 <> 0").selectExpr("app_id", "app_id % 3 AS n_paths"))
+
+
+_KINDS = ["ACTIVITY", "SERVICE", "RECEIVER", "PROVIDER"]
+
+
+@query(
+    "f4_frequency_matrix",
+    "SELECT app_id, " + ", ".join(f"nullif(COUNT(*) FILTER (WHERE comp_type = '{k}'), 0) AS {k}" for k in _KINDS) + " FROM fx_components GROUP BY 1",
+)
+def frequency_matrix(f):
+    """Components per app with one column for each kind."""
+    return S.frequency_matrix(f["fx_components"], "comp_type", _KINDS)
+
+
 _SUBS = [s for s, _ in K.ICC_SUBSIGS]
 _HAS = " OR ".join(f"contains(code, '{s}')" for s in _SUBS)
 _N = " + ".join(f"(length(code) - length(replace(code, '{s} @classDescriptor', ''))) // {len(s) + 17}" for s in _SUBS)
