@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from appfacts import constants as K
 from appfacts.functions.text import parameter_types, signature_parts
 from appfacts.operators.skew import skew_join
-from appfacts.session import cut_lineage, local_table
+from appfacts.session import cut_counted, cut_lineage, local_table
 
 
 def super_edges(classes: DataFrame, *parents: str) -> DataFrame:
@@ -46,8 +46,8 @@ def ancestors(classes: DataFrame, supers: DataFrame, scope: list[str] = ()) -> D
             .agg((F.min("__d") + reach).alias("depth"))
             .join(known.select(*key), key, "left_anti")
         )
-        new = cut_lineage(new)
-        if new.isEmpty():
+        new, n = cut_counted(new)
+        if not n:
             break
         known = cut_lineage(known.unionByName(new))
         reach *= 2

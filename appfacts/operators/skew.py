@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from appfacts.session import cut_lineage, fresh_name, sized_broadcast
+from appfacts.session import cut_counted, cut_lineage, fresh_name, sized_broadcast
 
 # A key with more rows than this is split over several tasks.
 HOT_ROWS = 1_000_000
@@ -37,8 +37,7 @@ def skew_join(
     """
     if once:
         many = cut_lineage(many)
-    pieces = cut_lineage(hot_keys(many, on, hot_rows))
-    n_hot = pieces.count()
+    pieces, n_hot = cut_counted(hot_keys(many, on, hot_rows))
     if not n_hot:
         return many.join(few, on, how)
     pieces = sized_broadcast(pieces, n_hot)
