@@ -68,13 +68,15 @@ def _no_items(a: Column) -> Column:
 
 
 # Path patterns come from apps and may be broken expressions: each is compiled before it is used, and one that does not
-# compile matches nothing (``rejected_patterns`` lists them).  A repeated group uses stack for each repetition, so a
-# pattern outside the plain form below is only run on paths of up to MAX_GROUP_PATH characters; servers cut URLs
-# well before that.  Possessive repetitions keep the check of the form itself from using the stack.
+# compile matches nothing (``rejected_patterns`` lists them).  A repeated group may use stack for each repetition, and an
+# overflow would take the executor down: a pattern with one, unless it has the plain form below, is only run while the
+# path's length times its own stays below MAX_GROUP_WORK.  Possessive repetitions keep the check of the form itself from
+# using the stack.
 PLAIN_PATTERN = (
     r"^(?:(?:\\.|\[[^\[\]\\&]+\]|\((?:(?:\\.|[^\\()\[\]{}*+?|^$])[*+?]?)++\)|[^\\()\[\]{}*+?|^$])[*+?]?)*+$"
 )
-MAX_GROUP_PATH = 4096
+REPEATED_GROUP = r"\)[*+?{]"
+MAX_GROUP_WORK = 8192
 
 
 def path_pattern(pattern) -> Column:
@@ -99,7 +101,8 @@ def compiles(expression) -> Column:
 def _path_matches(path: Column, pattern: Column) -> Column:
     """Whole-path test."""
     p = path_pattern(pattern)
-    usable = p.rlike(PLAIN_PATTERN) | (compiles(p) & (F.length(path) <= MAX_GROUP_PATH))
+    bounded = ~p.rlike(REPEATED_GROUP) | (F.length(path) * F.length(p) <= MAX_GROUP_WORK)
+    usable = p.rlike(PLAIN_PATTERN) | (compiles(p) & bounded)
     return F.when(usable, F.rlike(path, _whole(p))).otherwise(F.lit(False))
 
 
