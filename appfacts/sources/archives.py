@@ -13,7 +13,14 @@ MANIFEST, CODE = "AndroidManifest.xml", "classes.dex"
 FLAGS_SCHEMA = "uri string, has_manifest boolean, has_code boolean, error string"
 
 
+#: Bytes from the end of a file that are looked at first: the directory of some ten thousand members.
+TAIL = 1 << 20
+#: Spark reads a file as one value of at most so many bytes.
+MAX_FILE = (1 << 31) - 1 - 1024
+
+
 def _read_names(content: bytes) -> tuple[bool, bool, str | None]:
+    """Flags from an archive, or from its last bytes if they hold the directory."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             names = set(z.namelist())
@@ -28,27 +35,44 @@ def _flags(batches):
         yield pd.DataFrame(rows, columns=["uri", "has_manifest", "has_code", "error"])
 
 
-def archive_flags(files: DataFrame) -> DataFrame:
+def archive_flags(files: DataFrame, tail: int = TAIL) -> DataFrame:
     """(uri, is_valid, is_decompilable, error) for files (uri, content).
 
     Valid archives hold a manifest and code, decompilable ones need code only; an unreadable file has both flags false
-    and its error.  Only the archive's directory is looked at.
+    and its error.  Only the archive's directory is looked at, which stands at its end: the last bytes go to Python, and
+    the whole of a longer file only if they give no directory.
     """
-    return files.select("uri", "content").mapInPandas(_flags, FLAGS_SCHEMA).select(
+    length = F.length("content")
+    ends = files.select("uri", length.alias("size"), F.substring(F.col("content"), -tail, tail).alias("content"))
+    first = ends.select("uri", "content").mapInPandas(_flags, FLAGS_SCHEMA)
+    # A directory larger than the tail shows as an error, as does a file that is no archive.
+    long = files.where(length > tail).select("uri", "content")
+    again = long.join(first.where(F.col("error").isNotNull()).select("uri"), "uri", "left_semi")
+    second = again.mapInPandas(_flags, FLAGS_SCHEMA).withColumnsRenamed(
+        {"has_manifest": "m2", "has_code": "c2", "error": "e2"}
+    ).withColumn("second", F.lit(True))
+    both = first.join(second, "uri", "left")
+    manifest = F.when(F.col("second"), F.col("m2")).otherwise(F.col("has_manifest"))
+    code = F.when(F.col("second"), F.col("c2")).otherwise(F.col("has_code"))
+    return both.select(
         "uri",
-        (F.col("has_manifest") & F.col("has_code")).alias("is_valid"),
-        F.col("has_code").alias("is_decompilable"),
-        "error",
+        (manifest & code).alias("is_valid"),
+        code.alias("is_decompilable"),
+        F.when(F.col("second"), F.col("e2")).otherwise(F.col("error")).alias("error"),
     )
 
 
 def scan_app_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Flags of every file under a folder.
+    """Flags of every file under a folder; a file too long for one value gives a row with an error.
 
-    One row is a whole archive; Spark ends an Arrow batch at its byte limit, so a worker holds a few archives at a
-    time.
+    A worker holds the ends of some archives at a time; Spark ends an Arrow batch at its byte limit.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumnRenamed("path", "uri")
     )
-    return archive_flags(files)
+    readable = archive_flags(files.where(F.col("length") <= MAX_FILE).select("uri", "content"))
+    no = F.lit(False)
+    too_long = files.where(F.col("length") > MAX_FILE).select(
+        "uri", no.alias("is_valid"), no.alias("is_decompilable"), F.lit("file too long to read").alias("error")
+    )
+    return readable.unionByName(too_long)

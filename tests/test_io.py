@@ -70,8 +70,8 @@ def test_ingest_repeats_nothing(spark, rows, tmp_path):
     first.write.mode("append").parquet(f"{root}/in")
     assert run() == [(1, "a"), (1, "b")]
     second.write.mode("append").parquet(f"{root}/in")
-    assert run() == [(1, "a"), (1, "b"), (2, "c")]
-    assert run() == [(1, "a"), (1, "b"), (2, "c")]
+    assert run() == [(1, "a"), (1, "b"), (1, "late"), (2, "c")]
+    assert run() == [(1, "a"), (1, "b"), (1, "late"), (2, "c")]
 
 
 def test_user_rules(spark):
