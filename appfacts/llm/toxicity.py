@@ -29,8 +29,9 @@ SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch tu
 
 #: Labelled rows that a model is fitted on at most, chosen by a hash of their id.
 FIT_ROWS = 30_000
-#: Words learned from labelled texts at most, and how sure (in standard deviations) and how frequent each has to be.
-LEARNED_WORDS, LEARNED_Z, LEARNED_TEXTS = 300, 5.0, 8
+#: Words learned from labelled texts at most; how sure (in standard deviations) each has to be, and in how many toxic
+#: texts and what share of them it has to stand.  A word that only copies of one mislabelled text have falls short.
+LEARNED_WORDS, LEARNED_Z, LEARNED_TEXTS, LEARNED_SHARE = 300, 5.0, 8, 0.04
 #: Folds of labelled rows: one is held out, one calibrates, the others fit lexicon and trees.
 FOLDS, HELD_OUT, CALIBRATE = 4, 2, 3
 #: Rows of each class that a calibration fold of its own needs; else all rows calibrate.
@@ -179,7 +180,7 @@ def learn_words(rows: DataFrame) -> list[str]:
     odds = F.log((F.col("b") + 0.5) / (total.bad - F.col("b") + 0.5)) - F.log((F.col("g") + 0.5) / (total.good - F.col("g") + 0.5))
     z = odds / F.sqrt(1 / (F.col("b") + 0.5) + 1 / (F.col("g") + 0.5))
     # Against chance in a corpus with label noise: a word has to be several times as likely in toxic texts.
-    told = counts.where(F.col("b") >= LEARNED_TEXTS).withColumn("z", z).where((F.col("z") >= LEARNED_Z) & (odds > 1.5))
+    told = counts.where(F.col("b") >= max(LEARNED_TEXTS, LEARNED_SHARE * total.bad)).withColumn("z", z).where((F.col("z") >= LEARNED_Z) & (odds > 1.5))
     return [r.w for r in told.orderBy(F.desc("z"), "w").limit(LEARNED_WORDS).collect()]
 
 
