@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from appfacts.llm.tables import written
+from appfacts.llm.tables import written_measured
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,9 @@ def components(edges: DataFrame) -> DataFrame:
     sees; rounds are about logarithmic in the graph's width.  Each round is a written table.  Null ends are ignored.
     """
     ends = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = written(ends)
+    # Two edge sets are taken as equal if they agree in number and in the exclusive or of 64-bit hashes.
+    measures = {"n": F.count(F.lit(1)), "sign": F.bit_xor(F.xxhash64("u", "v"))}
+    now, was = written_measured(ends, **measures)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -28,10 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        after = written(small)
+        after, is_ = written_measured(small, **measures)
         # Done when every node hangs directly on one node that hangs on none, and nothing moved.
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+        if is_ == was:
             break
-        now = after
+        now, was = after, is_
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).distinct()

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from appfacts.session import ensure_checkpoint_dir
@@ -60,6 +60,13 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def written_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``written``, with aggregates of the rows taken while they are written."""
+    seen = Observation()
+    out = written(df.observe(seen, *[c.alias(n) for n, c in measures.items()]))
+    return out, seen.get
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared checkpoint folder: computed once, and not lost with an executor.
 
