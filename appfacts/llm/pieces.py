@@ -96,7 +96,11 @@ class Codec:
         self.is_byte = [k == BYTE for k in self.kinds]
         self.fallback = any(self.is_byte)
         self.cutter = self._cutter()
-        self.cache: dict[str, tuple[int, str, bytes]] = {}
+        self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.names = [str(i) for i in range(len(self.pieces))]
+        self.byte_ids = np.array(self.is_byte, bool)
+        self.unknown_ids = np.array([k == UNKNOWN for k in self.kinds], bool)
+        self.cache: dict[str, bytes] = {}
 
     def _cutter(self) -> re.Pattern | None:
         """Cuts a normalised text where no piece reaches across; None if no such place is known."""
@@ -109,11 +113,31 @@ class Codec:
             f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
         )
 
-    def normalize(self, text: str, align: bool = True) -> Normalized:
+    def normalize(self, text: str) -> Normalized:
         """Replace the longest map keys, then handle spaces as the model says; unmapped characters stay."""
-        if self.map is None and not self.one_space and not align:
-            return Normalized((SPACE if self.dummy_prefix and text else "") + (text.replace(" ", SPACE) if self.escape else text), np.empty(0))
         data = text.encode("utf-8", "surrogatepass")
+        if self.map is None and not self.one_space:
+            return self._spaced(text, data)
+        return self._stepwise(data)
+
+    def _spaced(self, text: str, data: bytes) -> Normalized:
+        """Only spaces change: each byte's source is the lead byte of its character."""
+        if not data:
+            return Normalized("", np.zeros(1, np.int64))
+        space = SPACE if self.escape else " "
+        values = np.frombuffer(data, np.uint8)
+        source = np.arange(len(data) + 1)
+        source[:-1][(values & 0xC0) == 0x80] = 0
+        source = np.maximum.accumulate(source)
+        times = np.ones(len(source), np.int64)
+        times[:-1][values == 0x20] = len(space.encode())
+        if self.dummy_prefix:
+            times[0] += len(space.encode())
+        prefix = space if self.dummy_prefix else ""
+        return Normalized(prefix + (text.replace(" ", space) if self.escape else text), np.repeat(source, times))
+
+    def _stepwise(self, data: bytes) -> Normalized:
+        """Any map and any rule for spaces, one replacement at a time."""
         out: list[bytes] = []
         source: list[int] = []
         at = 0
@@ -158,17 +182,16 @@ class Codec:
         return Normalized(b"".join(out).decode("utf-8", "surrogatepass"), np.asarray([*source, end], np.int64))
 
     def _learn(self, parts: list[str]) -> None:
-        """Encode parts that are new to the cache: (number of ids, ids joined by commas, bytes they decode to)."""
+        """Encode parts that are new to the cache: their ids as 32-bit integers."""
         if len(self.cache) + len(parts) > CACHE_PARTS:
             self.cache.clear()
         for part in parts:  # a list in one call would start a thread for each call
-            ids = self.merges.encode(part)
-            self.cache[part] = len(ids), ",".join(map(str, ids)), b"".join([self.surface[i] for i in ids])
+            self.cache[part] = np.array(self.merges.encode(part), np.int32).tobytes()
 
-    def parts(self, normal: str) -> list[tuple[int, str, bytes]]:
-        """What ``_learn`` keeps, for each part of a normalised text in order."""
+    def ids(self, normal: str) -> np.ndarray:
+        """Ids of a normalised text: those of its parts in order."""
         if not normal:
-            return []
+            return np.zeros(0, np.int32)
         keys = self.cutter.findall(normal) if self.cutter else [normal]
         out = [self.cache.get(k) for k in keys]
         if None in out:
@@ -177,27 +200,24 @@ class Codec:
                 new = list(dict.fromkeys(keys))
             self._learn(new)
             out = [self.cache[k] for k in keys]
-        return out
-
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the ids joined by commas, SHA-256 of the decoded text)."""
-        parts = self.parts(self.normalize(text, align=False).text)
-        plain = self._finish(b"".join([p[2] for p in parts]))
-        ids = ",".join([p[1] for p in parts])
-        return sum([p[0] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain).hexdigest()
-
-    def _finish(self, data: bytes) -> bytes:
-        return data[1:] if self.dummy_prefix and data.startswith(b" ") else data
+        return np.frombuffer(b"".join(out), np.int32)
 
     def encode(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """ids, and for each the first byte of the text it stands for and the byte behind the last."""
+        ids, begins, behind = self.spans(text)
+        return ids.tolist(), begins.tolist(), behind.tolist()
+
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``encode`` as arrays.  Pieces that don't spell the normalised text, or spans that leave a gap, are an error."""
         normal = self.normalize(text)
-        ids = [int(i) for part in self.parts(normal.text) for i in part[1].split(",") if i]
-        size = np.asarray([len(self.bytes_of[i]) for i in ids], np.int64)
-        if any(self.kinds[i] == UNKNOWN for i in ids):
-            size = self._unknown_sizes(ids, normal.text.encode("utf-8", "surrogatepass"))
+        ids = self.ids(normal.text)
+        size = self.sizes[ids]
+        if self.unknown_ids[ids].any():
+            size = self._unknown_sizes(ids.tolist(), normal.text.encode("utf-8", "surrogatepass"))
+        elif b"".join([self.bytes_of[i] for i in ids.tolist()]) != normal.text.encode("utf-8", "surrogatepass"):
+            raise ValueError("pieces do not spell the text")
         ends = np.cumsum(size)
-        if len(ends) and ends[-1] != len(normal.source) - 1:
+        if (int(ends[-1]) if len(ends) else 0) != len(normal.source) - 1:
             raise ValueError("pieces do not cover the text")
         # A piece that ends inside what one source makes gets that whole source.
         begins = normal.source[ends - size] if len(ends) else ends
@@ -208,7 +228,10 @@ class Codec:
             behind[inside] = normal.source[np.minimum(later, len(normal.source) - 1)]
         if self.dummy_prefix and len(ids) and self.bytes_of[ids[0]] == SPACE.encode():
             behind[0] = begins[0]  # stands for nothing in the text
-        return ids, begins.tolist(), behind.tolist()
+        # Each span begins where the one before ended, or inside what that one stands for.
+        if (begins > behind).any() or (begins[1:] > behind[:-1]).any() or (len(ids) and behind[-1] != normal.source[-1]):
+            raise ValueError("spans do not cover the text")
+        return ids, begins, behind
 
     def _unknown_sizes(self, ids: list[int], data: bytes) -> np.ndarray:
         """Unknown pieces take what lies between their neighbours (they occur only without byte pieces)."""
@@ -226,22 +249,27 @@ class Codec:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: runs of byte pieces as UTF-8, each byte that doesn't fit as U+FFFD."""
-        out: list[bytes] = []
-        run = bytearray()
-        for i in ids:
-            if self.is_byte[i]:
-                run += self.surface[i]
-                continue
-            if run:
-                out.append(_valid(bytes(run)))
-                run.clear()
-            surface = self.surface[i]
-            out.append(surface[1:] if not out and self.dummy_prefix and surface.startswith(b" ") else surface)
-        out.append(_valid(bytes(run)))
-        return b"".join(out).decode("utf-8", "surrogatepass")
+        return self.decoded(np.asarray(ids, np.int32)).decode("utf-8", "surrogatepass")
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """``decode`` as bytes."""
+        if not len(ids):
+            return b""
+        surfaces = [self.surface[i] for i in ids.tolist()]
+        is_byte = self.byte_ids[ids]
+        if self.dummy_prefix and not is_byte[0] and surfaces[0].startswith(b" "):
+            surfaces[0] = surfaces[0][1:]
+        edges = [0, *(np.flatnonzero(is_byte[1:] != is_byte[:-1]) + 1).tolist(), len(ids)]
+        runs = [(b"".join(surfaces[a:b]), is_byte[a]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return b"".join([_valid(run) if broken else run for run, broken in runs])
 
 
 def _valid(data: bytes) -> bytes:
+    try:
+        data.decode()
+        return data
+    except UnicodeDecodeError:
+        pass
     at, out = 0, []
     while at < len(data):
         for size in (1, 2, 3, 4):
@@ -295,11 +323,19 @@ def encode_documents(documents: DataFrame, model: str) -> DataFrame:
 
 
 def digest_documents(documents: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens and SHA-256 of ids and decoded text of every row (see ``encode_documents``)."""
+    """doc_id, n_tokens and SHA-256 of ids and decoded text of every row, encoded as in ``encode_documents``.
+
+    Ids, spans and decoded text of a row are all made and checked, but only digests leave the task.
+    """
+
+    def digests(c: Codec, text: str) -> tuple[int, str, str]:
+        ids, _, _ = c.spans(text)
+        joined = ",".join([c.names[i] for i in ids.tolist()])
+        return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(c.decoded(ids)).hexdigest()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(model)
-        rows = [c.digests(t or "") for t in batch.column("text").to_pylist()]
+        rows = [digests(c, t or "") for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.string()) for i in (1, 2)]],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

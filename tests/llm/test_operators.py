@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +165,32 @@ def test_normalizing_through_the_map(model, rule, spaces):
         assert all(a <= b for a, b in spans)
 
 
+def test_alignment_of_plain_models(model):
+    """Where only spaces change, sources and text are those of replacing one character at a time."""
+    codec = pieces.codec(model)
+    assert codec.map is None and not codec.one_space
+    for text in [t for t in ODD if t] + [" ", "ü 日 \U0001f600  ▁"]:
+        fast, slow = codec.normalize(text), codec._stepwise(text.encode())
+        assert fast.text == slow.text and list(fast.source) == list(slow.source), text
+        assert codec.encode(text)[2][-1] == len(text.encode())
+
+
+def test_digests_come_from_checked_spans(model, monkeypatch):
+    """A text whose alignment or pieces are wrong fails where digests are made."""
+    made = {}
+    monkeypatch.setattr(pieces, "map_batches", lambda df, fn, schema: made.setdefault("run", fn))
+    pieces.digest_documents(types.SimpleNamespace(select=lambda *c: None), model)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["some words"]})
+    assert made["run"](batch).column("n_tokens").to_pylist() == [len(pieces.codec(model).encode("some words")[0])]
+    normalize = pieces.Codec.normalize
+    short = lambda c, text: pieces.Normalized((n := normalize(c, text)).text, n.source[:-1])
+    other = lambda c, text: pieces.Normalized(normalize(c, text).text, np.arange(len(normalize(c, text).source))[::-1])
+    for wrong in (short, other):
+        monkeypatch.setattr(pieces.Codec, "normalize", wrong)
+        with pytest.raises(ValueError, match="cover"):
+            made["run"](batch)
+
+
 def test_decoding_broken_bytes(model):
     import sentencepiece
 
