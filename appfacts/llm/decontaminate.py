@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check.
 
-Every window of a text that has as many words as a benchmark item can be a copy of it.  A window's weighted shingles give
+Every window of a text that has as many words as a benchmark item can be a copy of it, and so can a whole text that is
+shorter than the item: it is its own window for each size of item above its own.  A window's weighted shingles give
 a 64-bit SimHash.  Fingerprints are cut into blocks: of two that differ in at most RADIUS bits, some block differs in at
 most RADIUS // BLOCKS, so an equality join of the windows' blocks with all such variants of the items' blocks misses no
 pair within the radius.  Pairs within the radius are then compared by the exact weighted Jaccard similarity.
@@ -30,7 +31,7 @@ PART_SHINGLES = 1_000_000
 _BITS = np.arange(64, dtype=np.uint64)
 _EDGES = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
 
-WINDOW = "doc_id bigint, key int, first_word bigint, n_words int, print bigint, grams array<bigint>, weights array<double>"
+WINDOW = "doc_id bigint, key int, first_word bigint, n_words int, item_words int, print bigint, grams array<bigint>, weights array<double>"
 
 
 def simhash(grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -102,9 +103,10 @@ def _found(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _windows(batch: pa.RecordBatch, known: Vocabulary) -> pa.RecordBatch | None:
-    """Fingerprints of the windows of each item size that may be similar to an item of that size."""
+    """Fingerprints of the windows of each item size, and of whole shorter texts, that may be similar to such an item."""
     words, at = word_hashes(batch.column("text").to_pylist(), ALNUM_WORD)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    n = np.diff(at)
+    row = np.repeat(np.arange(len(n)), n)
     out: list[tuple] = []
     by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for size, (grams, weights) in known.sizes.items():
@@ -128,27 +130,38 @@ def _windows(batch: pa.RecordBatch, known: Vocabulary) -> pa.RecordBatch | None:
         # Unknown shingles weigh 1 each and no known one more, so at most 1 - SIMILAR of the window's may be unknown.
         have = np.searchsorted(spots, starts + m) - np.searchsorted(spots, starts)
         starts = starts[m - have <= (1 - SIMILAR) * m + 1e-9]
-        for some in np.array_split(starts, max(1, len(starts) * m // 200_000)):
+        # Texts with fewer words than the item, by their number of shingles; the same bound holds for them.
+        some_known = np.unique(row[spots])
+        short = some_known[n[some_known] < size]
+        unknown = n[short] - k + 1 - (np.searchsorted(spots, at[short + 1]) - np.searchsorted(spots, at[short]))
+        short = short[unknown <= (1 - SIMILAR) * (n[short] - k + 1) + 1e-9]
+        groups = [(x, m) for x in np.array_split(starts, max(1, len(starts) * m // 200_000))]
+        groups += [(at[short[n[short] == words_]], int(words_) - k + 1) for words_ in np.unique(n[short])]
+        for some, count in groups:
             if len(some):
-                g = hashes[some[:, None] + np.arange(m)]
+                g = hashes[some[:, None] + np.arange(count)]
                 member, spot = _found(g.reshape(-1), grams)
                 w = np.where(member, weights[spot], 1.0).reshape(g.shape)
-                out.append((row[some], some - at[row[some]], np.full(len(some), size), simhash(g, w), list(g.view(np.int64)), list(w)))
+                same = np.ones(len(some), np.int64)
+                out.append(
+                    (row[some], some - at[row[some]], same * (count + k - 1), same * size, simhash(g, w), list(g.view(np.int64)), list(w))
+                )
     if not out:
         return None
-    rows, first, size, prints = (np.concatenate([o[i] for o in out]) for i in range(4))
+    rows, first, own, size, prints = (np.concatenate([o[i] for o in out]) for i in range(5))
     take = pa.array(rows)
     return pa.RecordBatch.from_arrays(
         [
             batch.column("doc_id").take(take),
             batch.column("key").take(take),
             pa.array(first, pa.int64()),
+            pa.array(own, pa.int32()),
             pa.array(size, pa.int32()),
             pa.array(prints.view(np.int64)),
-            pa.array([g for o in out for g in o[4]], pa.list_(pa.int64())),
-            pa.array([w for o in out for w in o[5]], pa.list_(pa.float64())),
+            pa.array([g for o in out for g in o[5]], pa.list_(pa.int64())),
+            pa.array([w for o in out for w in o[6]], pa.list_(pa.float64())),
         ],
-        names=["doc_id", "key", "first_word", "n_words", "print", "grams", "weights"],
+        names=["doc_id", "key", "first_word", "n_words", "item_words", "print", "grams", "weights"],
     )
 
 
@@ -182,6 +195,8 @@ def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
 def find_leaks(documents: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, item_id, first_word, n_words, distance, similarity: the most similar window of each document and item.
 
+    A text with fewer words than the item is one window, of all its words.
+
     Words are runs of letters, digits and non-ASCII characters, lower-cased; items below five words are one shingle.
     A shingle that several items have weighs 1 over their number, any other 1.  Texts or items that are null or have no
     words match nothing; repeated rows and items with one id and several texts give one row per document and item.
@@ -224,10 +239,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, similar: float = SIMI
         windows = windows.unionByName(more)
     # A passage that many texts share has equal windows in all of them: they are searched and compared once.
     windows = written(windows)
-    alike = windows.groupBy("n_words", "print", "grams").agg(F.first("weights").alias("weights"))
-    alike = written(alike.withColumn("window", F.xxhash64("n_words", "grams")))
+    alike = windows.groupBy("n_words", "item_words", "print", "grams").agg(F.first("weights").alias("weights"))
+    alike = written(alike.withColumn("window", F.xxhash64("item_words", "grams")))
     candidates = (
-        blocks(alike.select("window", "n_words", "print"), 0)
+        blocks(alike.select("window", F.col("item_words").alias("for_words"), "print"), 0)
         .join(
             blocks(prints.select("item_id", F.col("n_words").alias("item_words"), "print"), RADIUS // BLOCKS)
             .withColumnRenamed("print", "item_print")
@@ -235,7 +250,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, similar: float = SIMI
             .hint("merge"),
             ["block", "value"],
         )
-        .where(F.col("n_words") == F.col("item_words"))
+        .where(F.col("for_words") == F.col("item_words"))
         .withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
         .where(F.col("distance") <= RADIUS)
         .select("window", "item_id", "distance")
@@ -245,9 +260,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, similar: float = SIMI
 
 
 def _checked(windows: DataFrame, alike: DataFrame, candidates: DataFrame, prints: DataFrame, similar: float) -> DataFrame:
-    pairs = candidates.join(alike.select("window", "n_words", "grams", "weights"), "window").join(
-        prints.select("item_id", "n_words", F.col("grams").alias("item_grams"), F.col("weights").alias("item_weights")),
-        ["item_id", "n_words"],
+    pairs = candidates.join(alike.select("window", "n_words", "item_words", "grams", "weights"), "window").join(
+        prints.select("item_id", F.col("n_words").alias("item_words"), F.col("grams").alias("item_grams"), F.col("weights").alias("item_weights")),
+        ["item_id", "item_words"],
     )
     pairs = pairs.select(
         F.col("window").alias("doc_id"), F.lit(0).alias("key"), "item_id", F.lit(0).cast("bigint").alias("first_word"), "n_words",
@@ -255,7 +270,7 @@ def _checked(windows: DataFrame, alike: DataFrame, candidates: DataFrame, prints
     )
     checked = map_batches(pairs, _verify, "window bigint, key int, item_id bigint, first_word bigint, n_words int, distance int, similarity double")
     good = checked.where(F.col("similarity") >= similar).select("window", "item_id", "distance", "similarity")
-    placed = windows.select("doc_id", "first_word", "n_words", F.xxhash64("n_words", "grams").alias("window"))
+    placed = windows.select("doc_id", "first_word", "n_words", F.xxhash64("item_words", "grams").alias("window"))
     best = F.max_by(
         F.struct("first_word", "n_words", "distance", "similarity"), F.struct("similarity", -F.col("distance"), -F.col("first_word"))
     )

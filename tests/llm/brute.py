@@ -74,7 +74,7 @@ def jaccard(rows, percent=80):
 
 
 def item_windows(rows, items, similar=0.8):
-    """(doc, item): greatest similarity of a window of the item's size, where it is at least ``similar``."""
+    """(doc, item): greatest similarity of a window of the item's size or a whole shorter text, where at least ``similar``."""
     grams_of = {}
     for item, text in items:
         words = ALNUM.findall((text or "").translate(LOWER))
@@ -89,10 +89,11 @@ def item_windows(rows, items, similar=0.8):
     for doc, text in rows:
         words = ALNUM.findall((text or "").translate(LOWER))
         for item, (n, k, grams) in grams_of.items():
-            if not k or len(words) < n:
+            if not k:
                 continue
-            for i in range(len(words) - n + 1):
-                window = [tuple(words[j : j + k]) for j in range(i, i + n - k + 1)]
+            size = min(n, len(words))
+            for i in range(len(words) - size + 1):
+                window = [tuple(words[j : j + k]) for j in range(i, i + size - k + 1)]
                 low = high = 0.0
                 for g in set(window) | set(grams):
                     a, b = window.count(g) * weight[g], grams.count(g) * weight[g]

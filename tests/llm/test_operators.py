@@ -371,6 +371,18 @@ def test_leaks_cases(spark):
     assert leaks(table(spark, rows), df.where("false")) == {} and leaks(table(spark, []), df) == {}
 
 
+def test_leaks_in_texts_shorter_than_the_item(spark):
+    """A whole text that lacks words of an item is compared with it, at the ends of the batch and between other texts."""
+    long, short = [f"l{i}" for i in range(59)], [f"s{i}" for i in range(16)]
+    named = [(1, " ".join(long)), (2, " ".join(short)), (3, "two words")]
+    rows = [(i, " ".join(w)) for i, w in enumerate([
+        short[:-1], ["x", "y"], long[:29] + long[30:], long[:40], short[:-3], short[1:], ["two"], long[4:], [], long[:-1] + ["z"], short[2:15]
+    ])]
+    want = {k: round(v, 9) for k, v in brute.item_windows(rows, named).items()}
+    assert leaks(table(spark, rows), table(spark, named).toDF("item_id", "text")) == want
+    assert {(0, 2), (2, 1), (5, 2), (7, 1)} <= want.keys() and want[0, 2] == round(11 / 12, 9) and want[2, 1] == round(50 / 59, 9)
+
+
 def test_leaks_in_parts(spark, docs, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = leaks(docs, items)
