@@ -4,7 +4,9 @@ Every window of a text that has as many words as a benchmark item can be a copy
 shorter than the item: it is its own window for each size of item above its own.  A window's weighted shingles give
 a 64-bit SimHash.  Fingerprints are cut into blocks: of two that differ in at most RADIUS bits, some block differs in at
 most RADIUS // BLOCKS, so an equality join of the windows' blocks with all such variants of the items' blocks misses no
-pair within the radius.  Pairs within the radius are then compared by the exact weighted Jaccard similarity.
+pair within the radius.  How many similar pairs lie beyond the radius depends on the weights, so pairs are also searched by
+shared shingles (``_prefix``), which misses none.  All are then compared by exact Jaccard similarities: the weighted one, and
+the one with equal weights, as a changed word would outweigh shingles that many items share.
 
 Windows that can't reach the similarity with any item of their size, because too many of their shingles occur in no such
 item, are not fingerprinted; that bound is exact.
@@ -23,7 +25,7 @@ from appfacts.llm.bytehash import ALNUM_WORD, shingle_hashes, word_hashes
 from appfacts.llm.tables import map_batches, written
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Two texts of similarity 0.8 differ in 9.7 of 64 bits on average, with a deviation of 2.9: 19 bits miss about 1 in 3000.
+#: For equal weights, texts of similarity 0.8 differ in 9.7 of 64 bits on average, with a deviation of 2.9.
 BLOCKS, RADIUS = 5, 19
 #: Different item shingles that a task holds at a time; a larger benchmark is searched in parts.
 PART_SHINGLES = 1_000_000
@@ -52,6 +54,39 @@ def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarra
     return float(np.minimum(left, right).sum() / top) if top else 0.0
 
 
+def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """The greater of the weighted Jaccard similarity and that with equal weights."""
+    return max(weighted_jaccard(a, wa, b, wb), weighted_jaccard(a, np.ones(len(a)), b, np.ones(len(b))))
+
+
+def _prefix(grams: list[int], weights: list[float]) -> list[int]:
+    """Shingles of which two sets with ``similarity`` of SIMILAR have one in common.
+
+    Both sets share SIMILAR of their own weight at least, so less than the rest stands before the first shared shingle,
+    in an order that is the same for both: by falling weight, then by hash.  That holds for either kind of weights.
+    """
+    g, where = np.unique(np.array(grams, np.int64), return_inverse=True)
+    w, count = np.bincount(where, weights, len(g)), np.bincount(where, minlength=len(g))
+    order = np.lexsort((g, -np.round(w / count, 12)))
+    take = np.zeros(len(g), bool)
+    for each in (w[order], count[order].astype(np.float64)):
+        before = np.cumsum(each) - each
+        take |= before <= (1 - SIMILAR) * each.sum() + 1e-9
+    return g[order][take].tolist()
+
+
+def _prefixes(df: DataFrame, name: str, size: str) -> DataFrame:
+    """(name, size, gram) for the shingles of each row's ``_prefix``."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [_prefix(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("grams", "weights")), strict=True)]
+        rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        grams = pa.array([g for f in found for g in f], pa.int64())
+        return pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in (name, size)], grams], names=[name, size, "gram"])
+
+    return map_batches(df.select(name, size, "grams", "weights"), run, f"{name} bigint, {size} int, gram bigint")
+
+
 def _sized(n: int) -> int:
     """Words of a shingle of an item with ``n`` words: SHINGLE, or the whole item if it has fewer."""
     return min(n, SHINGLE)
@@ -187,7 +222,7 @@ def blocks(prints: DataFrame, errors: int) -> DataFrame:
 
 def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
     sets = (batch.column(c).to_pylist() for c in ("grams", "weights", "item_grams", "item_weights"))
-    similar = [weighted_jaccard(*(np.array(x) for x in row)) for row in zip(*sets, strict=True)]
+    similar = [similarity(*(np.array(x) for x in row)) for row in zip(*sets, strict=True)]
     keep = ["doc_id", "key", "item_id", "first_word", "n_words", "distance"]
     return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(similar)], names=[*keep, "similarity"])
 
@@ -198,12 +233,13 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, similar: float = SIMI
     A text with fewer words than the item is one window, of all its words.
 
     Words are runs of letters, digits and non-ASCII characters, lower-cased; items below five words are one shingle.
-    A shingle that several items have weighs 1 over their number, any other 1.  Texts or items that are null or have no
+    A shingle that several items have weighs 1 over their number, any other 1; the similarity is that with these weights or
+    that with equal ones, whichever is greater.  Texts or items that are null or have no
     words match nothing; repeated rows and items with one id and several texts give one row per document and item.
-    ``similar`` may not be below SIMILAR, on which the radius depends.
+    ``similar`` may not be below SIMILAR, on which the search depends.
     """
     if similar < SIMILAR:
-        raise ValueError(f"similarities below {SIMILAR} would need a larger radius")
+        raise ValueError(f"similarities below {SIMILAR} are not searched")
     spark = documents.sparkSession
     items = map_batches(
         benchmark.select("item_id", "text").where("item_id is not null").distinct(), _item_grams, "item_id bigint, n_words int, grams array<bigint>"
@@ -253,20 +289,27 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, similar: float = SIMI
         .where(F.col("for_words") == F.col("item_words"))
         .withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
         .where(F.col("distance") <= RADIUS)
-        .select("window", "item_id", "distance")
-        .distinct()
+        .select("window", "item_id", "item_words")
+    )
+    sharing = (
+        _prefixes(alike, "window", "item_words")
+        .join(_prefixes(prints.withColumnRenamed("n_words", "item_words"), "item_id", "item_words"), ["item_words", "gram"])
+        .select("window", "item_id", "item_words")
     )
+    candidates = candidates.unionByName(sharing).distinct()
     return _checked(windows, alike, candidates, prints, similar)
 
 
 def _checked(windows: DataFrame, alike: DataFrame, candidates: DataFrame, prints: DataFrame, similar: float) -> DataFrame:
-    pairs = candidates.join(alike.select("window", "n_words", "item_words", "grams", "weights"), "window").join(
-        prints.select("item_id", F.col("n_words").alias("item_words"), F.col("grams").alias("item_grams"), F.col("weights").alias("item_weights")),
+    pairs = candidates.join(
+        alike.select("window", "n_words", "item_words", "print", "grams", "weights"), ["window", "item_words"]
+    ).join(
+        prints.select("item_id", F.col("n_words").alias("item_words"), F.col("print").alias("item_print"), F.col("grams").alias("item_grams"), F.col("weights").alias("item_weights")),
         ["item_id", "item_words"],
     )
     pairs = pairs.select(
         F.col("window").alias("doc_id"), F.lit(0).alias("key"), "item_id", F.lit(0).cast("bigint").alias("first_word"), "n_words",
-        "distance", "grams", "weights", "item_grams", "item_weights",
+        F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))).alias("distance"), "grams", "weights", "item_grams", "item_weights",
     )
     checked = map_batches(pairs, _verify, "window bigint, key int, item_id bigint, first_word bigint, n_words int, distance int, similarity double")
     good = checked.where(F.col("similarity") >= similar).select("window", "item_id", "distance", "similarity")

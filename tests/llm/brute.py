@@ -94,10 +94,11 @@ def item_windows(rows, items, similar=0.8):
             size = min(n, len(words))
             for i in range(len(words) - size + 1):
                 window = [tuple(words[j : j + k]) for j in range(i, i + size - k + 1)]
-                low = high = 0.0
-                for g in set(window) | set(grams):
-                    a, b = window.count(g) * weight[g], grams.count(g) * weight[g]
-                    low, high = low + min(a, b), high + max(a, b)
-                if low / high >= similar:
-                    out[doc, item] = max(out.get((doc, item), 0), low / high)
+                for of in (weight, defaultdict(lambda: 1.0)):
+                    low = high = 0.0
+                    for g in set(window) | set(grams):
+                        a, b = window.count(g) * of[g], grams.count(g) * of[g]
+                        low, high = low + min(a, b), high + max(a, b)
+                    if low / high >= similar:
+                        out[doc, item] = max(out.get((doc, item), 0), low / high)
     return out

@@ -383,6 +383,31 @@ def test_leaks_in_texts_shorter_than_the_item(spark):
     assert {(0, 2), (2, 1), (5, 2), (7, 1)} <= want.keys() and want[0, 2] == round(11 / 12, 9) and want[2, 1] == round(50 / 59, 9)
 
 
+def test_leaks_of_repeated_and_templated_items(spark):
+    """One changed word is found under every id of a repeated item, and in passages that many items share."""
+    item, shared = [f"l{i}" for i in range(59)], [f"s{i}" for i in range(40)]
+    named = [(i, " ".join(item)) for i in range(3)] + [(10 + i, " ".join([*shared, *[f"e{i}x{j}" for j in range(4)]])) for i in range(10)]
+    rows = [(1, " ".join([*item[:29], "changed", *item[30:]])), (2, " ".join([*shared[:-1], "other", *[f"e4x{j}" for j in range(4)]]))]
+    rows += [(3, " ".join([*shared, "none", "of", "these", "words"])), (4, " ".join(["new", *shared[1:], *[f"e2x{j}" for j in range(4)]]))]
+    want = {k: round(v, 9) for k, v in brute.item_windows(rows, named).items()}
+    assert leaks(table(spark, rows), table(spark, named).toDF("item_id", "text")) == want
+    assert {(1, 0), (1, 1), (1, 2), (4, 12), *[(3, 10 + i) for i in range(10)]} <= want.keys()
+
+
+def test_prefixes_meet():
+    """Sets over the threshold in either measure share a shingle of their prefixes."""
+    rng, close = random.Random(9), 0
+    weight = {g: 1 / rng.choice([1, 1, 2, 3, 10]) for g in range(60)}
+    for _ in range(3000):
+        a = [rng.randrange(60) for _ in range(rng.randint(1, 30))]
+        b = [rng.randrange(60) if rng.random() < 0.08 else g for g in a][: max(1, len(a) - rng.randrange(3))]
+        wa, wb = [weight[g] for g in a], [weight[g] for g in b]
+        if decontaminate.similarity(*map(np.array, (a, wa, b, wb))) >= decontaminate.SIMILAR:
+            close += 1
+            assert set(decontaminate._prefix(a, wa)) & set(decontaminate._prefix(b, wb))
+    assert close > 500
+
+
 def test_leaks_in_parts(spark, docs, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = leaks(docs, items)
