@@ -20,8 +20,8 @@ from appfacts.llm.tables import map_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 HIDDEN = frozenset(
-    "head script style template noscript iframe object svg math audio video canvas datalist title meta link noembed"
-    " noframes select textarea area param source track".split()
+    "head script style template noscript iframe object svg audio video canvas datalist title meta link noembed"
+    " noframes select area param source track".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -149,7 +149,7 @@ def parse(page: str) -> Element:
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
             stop = end.start() if end else len(page)
-            element.content.append(page[at:stop])
+            element.content.append(unescape(page[at:stop]) if name == "textarea" else page[at:stop])
             gt = page.find(">", stop)
             at = gt + 1 if end and gt >= 0 else len(page)
         elif name not in VOID and len(open_) < MAX_DEPTH:
@@ -297,6 +297,11 @@ def _element(e: Element, out: Layout, pre: bool, lists: list) -> None:
         out.gap() if spaced else out.line()
         _content(e, out, pre or name == "pre", lists)
         out.gap() if spaced else out.line()
+    elif name == "textarea":
+        _content(e, out, True, lists)
+    elif name == "semantics":  # of a formula: its annotations aren't shown
+        e.content = [x for x in e.content if isinstance(x, str) or not x.name.startswith("annotation")]
+        _content(e, out, pre, lists)
     elif name in ("td", "th"):  # outside a table
         _content(e, out, pre, lists)
         out.word(" ")
@@ -304,15 +309,58 @@ def _element(e: Element, out: Layout, pre: bool, lists: list) -> None:
         _content(e, out, pre, lists)
 
 
-def _rows(e: Element) -> list[Element]:
-    found = []
+_SECTIONS = frozenset(("tbody", "thead", "tfoot", "colgroup"))
+
+
+def _holds(e: Element, names: frozenset[str]) -> bool:
+    """Whether an element with one of the names is shown inside, not counting those of tables of its own."""
+    return any(
+        isinstance(x, Element) and x.name != "table" and visible(x) and (x.name in names or _holds(x, names)) for x in e.content
+    )
+
+
+_ROW, _CELL = frozenset(("tr",)), frozenset(("td", "th"))
+
+
+def _parts(e: Element, names: frozenset[str]) -> list[tuple[bool, Element | str]]:
+    """What a table, section or row holds in order: (True, an element with one of the names) or (False, stray content).
+
+    Elements between, such as a form around cells, are looked through; those without such a part inside stay whole.
+    """
+    out: list[tuple[bool, Element | str]] = []
     for x in e.content:
-        if isinstance(x, Element) and visible(x):
-            if x.name == "tr":
-                found.append(x)
-            elif x.name in ("tbody", "thead", "tfoot"):
-                found += _rows(x)
-    return found
+        if isinstance(x, str):
+            out.append((False, x))
+        elif not visible(x):
+            continue
+        elif x.name in names:
+            out.append((True, x))
+        elif x.name != "table" and (x.name in _SECTIONS or _holds(x, names)):
+            out += _parts(x, names)
+        else:
+            out.append((False, x))
+    return out
+
+
+def _rows(e: Element) -> tuple[list[list[Element]], list[Element | str]]:
+    """(cells of each row, stray content of the table and its rows).  Cells outside rows make a row."""
+    rows: list[list[Element]] = []
+    stray: list[Element | str] = []
+    loose = False
+    for wanted, x in _parts(e, _ROW | _CELL):
+        if not wanted:
+            stray.append(x)
+        elif x.name in _CELL:
+            if not loose:
+                rows.append([])
+            rows[-1].append(x)
+            loose = True
+        else:
+            inner = _parts(x, _CELL)
+            rows.append([y for cell, y in inner if cell])
+            stray += [y for cell, y in inner if not cell]
+            loose = False
+    return rows, stray
 
 
 def _number(value: str | None) -> int:
@@ -321,23 +369,20 @@ def _number(value: str | None) -> int:
 
 def _table(e: Element, out: Layout, lists: list) -> None:
     """Cells in columns as wide as their widest cell of one column; a cell's further lines stand below its first."""
-    for x in e.content:
-        if isinstance(x, Element) and x.name in ("tbody", "thead", "tfoot", "tr", "colgroup", "col"):
-            continue
+    rows, stray = _rows(e)
+    for x in stray:  # caption, and what the page misplaced into the table
         if isinstance(x, str):
             out.word(_SPACES.sub(" ", x))
-        elif visible(x):  # caption, and what the page misplaced into the table
+        else:
             out.line()
-            _content(x, out, False, lists)
+            _element(x, out, False, lists)
             out.line()
     out.line()
     grid: list[list[tuple[int, int, list[str]]]] = []  # (column, columns, lines)
     taken: dict[int, int] = {}  # column: rows that a cell above still takes
-    for tr in _rows(e):
+    for cells in rows:
         row, column = [], 0
-        for x in tr.content:
-            if not isinstance(x, Element) or x.name not in ("td", "th") or not visible(x):
-                continue
+        for x in cells:
             while taken.get(column, 0):
                 column += 1
             a = x.attributes() if x.attrs else {}

@@ -480,6 +480,23 @@ def test_page_layout(page, text):
     assert html_text.page_text(page).strip("\n") == text.strip("\n") or html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><form><td>A</td><td>B</td></form></tr></table>", "A  B"),
+        ("<table><form><tr><td>A<tr><td>B</form></table>", "A\nB"),
+        ("<table><tr>text<td>A</table>", "text\nA"),
+        ("<table><tbody>s<p>t</p><tr><td>x</td></tr></tbody></table>", "s\n\nt\n\nx"),
+        ("<table><tr><td>A<td><table><tr><td>in</table><tr hidden><td>n</tr><tr><td>B</table>", "A  in\nB"),
+        ("<table><colgroup><col><td>A</table>", "A"),
+        ("a <textarea>b &amp; <i>c</textarea>d", "a b & <i>cd"),
+        ("<math><semantics><mi>x</mi><annotation>tex</annotation></semantics></math> y", "x y"),
+    ],
+)
+def test_all_visible_text_is_kept(page, text):
+    assert html_text.page_text(page) == text
+
+
 def test_pages(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "<p>x", 0), (3, "<p>x", 0), (4, "<td>" * 50_000, 0)]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id bigint, html string, text int"))
