@@ -86,34 +86,20 @@ def _hash_words(buf: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, mix(np.add.reduceat(values, starts))
 
 
-def word_hashes(
+def buffers(
     texts: Sequence[str | None], word: np.ndarray, fold: np.ndarray = LOWER
-) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and where each text's words begin (one more entry).
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Folded bytes of the texts in pieces of about SLICE_BYTES, where each text begins in a piece, and which it is.
 
-    ``fold`` maps bytes (here to lower case) before ``word`` tells which belong to words.
-
-    Memory is bounded by SLICE_BYTES and the words themselves, so one very long text is no special case.
+    Memory is bounded by SLICE_BYTES, so one very long text is no special case.  Words are never cut.
     """
-    counts = np.zeros(len(texts) + 1, np.int64)
-    out: list[np.ndarray] = []
     pending: list[bytes] = []
     owners: list[int] = []
     size = 0
 
-    def flush() -> None:
-        nonlocal size
-        if not pending:
-            return
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         buf = fold[np.frombuffer(b" ".join(pending) + b" ", np.uint8)]
-        starts, hashes = _hash_words(buf, word)
-        begins = np.concatenate(([0], np.cumsum([len(p) + 1 for p in pending])[:-1]))
-        piece = np.searchsorted(begins, starts, "right") - 1
-        np.add.at(counts, np.asarray(owners)[piece] + 1, 1)
-        out.append(hashes)
-        pending.clear()
-        owners.clear()
-        size = 0
+        return buf, np.concatenate(([0], np.cumsum([len(p) + 1 for p in pending])[:-1])), np.asarray(owners)
 
     for i, text in enumerate(texts):
         if not text:
@@ -124,11 +110,47 @@ def word_hashes(
             owners.append(i)
             size += len(part)
             if size >= SLICE_BYTES:
-                flush()
-    flush()
+                yield joined()
+                pending, owners, size = [], [], 0
+    if pending:
+        yield joined()
+
+
+def word_hashes(
+    texts: Sequence[str | None], word: np.ndarray, fold: np.ndarray = LOWER
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and where each text's words begin (one more entry).
+
+    ``fold`` maps bytes (here to lower case) before ``word`` tells which belong to words.
+    """
+    counts = np.zeros(len(texts) + 1, np.int64)
+    out: list[np.ndarray] = []
+    for buf, begins, owners in buffers(texts, word, fold):
+        starts, hashes = _hash_words(buf, word)
+        np.add.at(counts, owners[np.searchsorted(begins, starts, "right") - 1] + 1, 1)
+        out.append(hashes)
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.cumsum(counts)
 
 
+def stem_hashes(
+    texts: Sequence[str | None], word: np.ndarray, sizes: Sequence[int]
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """In pieces: the text of every word in order, and a row of hashes for it: the word's, then its first bytes' in each
+    of ``sizes`` (rising).  A word shorter than a size has 0 there."""
+    for buf, begins, owners in buffers(texts, word):
+        starts, whole = _hash_words(buf, word)
+        out = np.zeros((len(starts), len(sizes) + 1), np.uint64)
+        out[:, 0] = whole
+        total, alive = np.zeros(len(starts), np.uint64), np.ones(len(starts), bool)
+        for i in range(max(sizes, default=0)):
+            at = np.minimum(starts + i, len(buf) - 1)
+            alive &= word[buf[at]] & (starts + i < len(buf))
+            total = (total + np.uint64(i + 1)) * _BASE + BYTE_VALUES[buf[at]]
+            if i + 1 in sizes:
+                out[:, 1 + sizes.index(i + 1)] = np.where(alive, mix(total), np.uint64(0))
+        yield owners[np.searchsorted(begins, starts, "right") - 1], out
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of ``k`` consecutive word hashes of one text; shorter texts give none."""
     n = len(words) - k + 1

@@ -1,6 +1,7 @@
 """Text operators against plain evaluations: given rows, and hand-made nulls, empty and long texts, ties, repeats."""
 
 import hashlib
+import math
 import random
 import types
 
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from appfacts.llm import chroma, decontaminate, html_text, jaccard_trie, licenses, packing, pieces, suffix_dedup, toxicity, url_rules
+from appfacts.llm.bytehash import ALNUM_WORD, word_hashes
 from appfacts.llm.graph import components
 from tests.llm import brute
 
@@ -430,11 +432,45 @@ def test_blocks_find_all_within_radius(spark):
 
 
 def test_toxicity_held_out(spark):
-    folder = "/root/testdata/sf0.01"
-    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
-    rows = toxicity.score_documents(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    clean, bad = [r.predicted for r in rows if r.toxic == 0], [r.predicted for r in rows if r.toxic == 1]
-    assert np.mean(clean) < 0.05 and np.mean(bad) > 0.5
+    """Recall in every language and clean rows flagged, on rows that nothing was learned from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.score_documents(docs, labels).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
+    share = scored.join(labels, "doc_id").groupBy("lang", "toxic").agg(F.avg("predicted").alias("p")).collect()
+    assert all(r.p >= 0.8 if r.toxic else r.p < 0.02 for r in share) and len(share) == 8
+
+
+def test_stems_against_plain_counting(spark):
+    """Learned entries and their hits, counted with strings; copies of one text count once."""
+    rows = [(f"der tag war {'schlimm' + e} und {'schlimm' + e[::-1]} {i} x", 1.0) for i, e in enumerate("ab cd ef gh ij kl mn op".split())]
+    rows += [(f"der tag war schlimm {i} y", 0.0) for i in range(6)] + [(f"ein schöner tag und {i} z{i}", 0.0) for i in range(40)]
+    rows += [("only copies say wretch wretch here", 1.0)] * 50
+    entries = toxicity.learn_stems(spark.createDataFrame(rows, "text string, toxic double"))
+    for need in (1, 2):
+        assert all(w > 0 for _, n, w in entries if n == need)
+    lexicon = toxicity.Lexicon(entries)
+    texts = ["schlimmer und schlimmste", "schlimmer", None, "", "wretch wretch", "schlimm" * 2 + " schlimmes " + "x" * 3_000_000 + " schlimm"]
+    words, at = word_hashes(texts, ALNUM_WORD)
+    taught, odds = lexicon.hits(texts, len(words))
+    of = np.repeat(np.arange(len(texts)), np.diff(at))
+    assert [int(taught[of == i].sum()) for i in range(len(texts))] == [2, 0, 0, 0, 0, 3]
+    assert [o > 0 for o in odds] == [True, False, False, False, False, True]
+
+
+def test_text_features(spark):
+    """Each feature against counting by hand."""
+    empty = toxicity.Lexicon([])
+    seeds, second = (toxicity._hashed(w) for w in (toxicity.INSULTS, toxicity.SECOND_PERSON))
+    text = "You IDIOT, you 1d10t!! Why? ok 42"
+    row = dict(zip(toxicity.NAMES, toxicity.text_features([text], seeds, empty, second)[0], strict=True))
+    n = len(text)
+    want = {
+        "seed_density": 1 / 7, "seed_count": math.log(2), "learned_density": 0, "learned_count": 0, "learned_odds": 0,
+        "near_second_person": math.exp(-1 / 5) / 7, "second_person": 2 / 7, "capitals": 7 / 15, "digits": 5 / n,
+        "punctuation": 4 / n, "exclamation": 2 / n, "question": 1 / n, "punctuation_runs": 1 / n, "obfuscated": 1 / 7,
+        "words": math.log(8), "word_size": 20 / 7,
+    }
+    assert row == pytest.approx(want)
+    assert toxicity.text_features([None], seeds, empty, second).tolist() == toxicity.text_features([""], seeds, empty, second).tolist()
 
 
 def test_toxicity_cases(spark):
