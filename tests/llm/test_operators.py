@@ -465,9 +465,9 @@ def test_text_features(spark):
     n = len(text)
     want = {
         "seed_density": 1 / 7, "seed_count": math.log(2), "learned_density": 0, "learned_count": 0, "learned_odds": 0,
-        "near_second_person": math.exp(-1 / 5) / 7, "second_person": 2 / 7, "capitals": 7 / 15, "digits": 5 / n,
+        "near_second_person": math.exp(-1 / 5) / 7, "second_person": 2 / 7, "capitals": 7 / 18, "digits": 5 / n,
         "punctuation": 4 / n, "exclamation": 2 / n, "question": 1 / n, "punctuation_runs": 1 / n, "obfuscated": 1 / 7,
-        "words": math.log(8), "word_size": 20 / 7,
+        "words": math.log(8), "word_size": 23 / 7,
     }
     assert row == pytest.approx(want)
     assert toxicity.text_features([None], seeds, empty, second).tolist() == toxicity.text_features([""], seeds, empty, second).tolist()
