@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from appfacts import constants as K
+from appfacts.functions.automata import AUTOMATON, accepts, compile_patterns
 
 # Documented URL pattern: scheme, two slashes, then everything up to white space, a quote, a bracket or a back slash.
 URL_PATTERN = r"(?:https?|ftp)://[^\s\"'<>()\[\]{}\\]+"
@@ -68,15 +69,13 @@ def _no_items(a: Column) -> Column:
 
 
 # Path patterns come from apps and may be broken expressions: each is compiled before it is used, and one that does not
-# compile matches nothing (``rejected_patterns`` lists them).  A repeated group may use stack for each repetition, and an
-# overflow would take the executor down: a pattern with one, unless it has the plain form below, is only run while the
-# path's length times its own stays below MAX_GROUP_WORK.  Possessive repetitions keep the check of the form itself from
-# using the stack.
+# compile matches nothing (``rejected_patterns`` lists them).  The expression engine may use stack for each repetition of
+# a group, and an overflow would take the executor down: patterns with such groups run as automata, unless they have the
+# plain form below.  Possessive repetitions keep the check of the form itself from using the stack.
 PLAIN_PATTERN = (
     r"^(?:(?:\\.|\[[^\[\]\\&]+\]|\((?:(?:\\.|[^\\()\[\]{}*+?|^$])[*+?]?)++\)|[^\\()\[\]{}*+?|^$])[*+?]?)*+$"
 )
 REPEATED_GROUP = r"\)[*+?{]"
-MAX_GROUP_WORK = 8192
 
 
 def path_pattern(pattern) -> Column:
@@ -98,17 +97,41 @@ def compiles(expression) -> Column:
     return e.isNotNull() & ok(e) & ok(_whole(e))
 
 
-def _path_matches(path: Column, pattern: Column) -> Column:
-    """Whole-path test."""
+def _grouped(expression: Column) -> Column:
+    """Whether an expression repeats a group in a way that needs stack."""
+    return expression.rlike(REPEATED_GROUP) & ~expression.rlike(PLAIN_PATTERN)
+
+
+def pattern_table(patterns) -> Column:
+    """Path patterns with automata for those that repeat groups: array of (pattern, automaton).
+
+    Null where no pattern needs one.  It is evaluated in Python, so in a lambda or a join condition a column that holds
+    it has to be used.
+    """
+    p = _col(patterns)
+    expressions = F.transform(p, lambda x: F.when(_grouped(path_pattern(x)) & compiles(path_pattern(x)), path_pattern(x)))
+    needed = F.exists(p, lambda x: _grouped(path_pattern(x)))
+    return compile_patterns(F.when(needed, p), F.when(needed, expressions))
+
+
+def _path_matches(path: Column, pattern: Column, table: Column) -> Column:
+    """Whole-path test.  A pattern that repeats groups and has no automaton matches nothing (``undecided_patterns``)."""
     p = path_pattern(pattern)
-    bounded = ~p.rlike(REPEATED_GROUP) | (F.length(path) * F.length(p) <= MAX_GROUP_WORK)
-    usable = p.rlike(PLAIN_PATTERN) | (compiles(p) & bounded)
-    return F.when(usable, F.rlike(path, _whole(p))).otherwise(F.lit(False))
+    return (
+        F.when(table.isNotNull(), accepts(table, path))
+        .when(p.rlike(PLAIN_PATTERN) | (compiles(p) & ~p.rlike(REPEATED_GROUP)), F.rlike(path, _whole(p)))
+        .otherwise(F.lit(False))
+    )
 
 
-def uri_matches(data, uri) -> Column:
-    """Scheme, then authority, then path of an intent URI against a filter's data."""
+def uri_matches(data, uri, table=None) -> Column:
+    """Scheme, then authority, then path of an intent URI against a filter's data.
+
+    ``table`` is the column of ``pattern_table`` for the filter's path patterns (made here if it isn't given).
+    """
     d, u = _col(data), _col(uri)
+    table = pattern_table(d["path_patterns"]) if table is None else _col(table)
+    simple = F.transform(d["path_patterns"], lambda p: F.struct(p.alias("pattern"), F.lit(None).cast(AUTOMATON).alias("automaton")))
     schemes, auths = d["schemes"], d["authorities"]
     paths, prefixes, patterns = d["paths"], d["path_prefixes"], d["path_patterns"]
     path = u["path"]
@@ -125,7 +148,7 @@ def uri_matches(data, uri) -> Column:
     path_ok = (
         F.coalesce(F.array_contains(paths, path), F.lit(False))
         | F.coalesce(F.exists(prefixes, lambda p: path.startswith(p)), F.lit(False))
-        | F.coalesce(F.exists(patterns, lambda p: _path_matches(path, p)), F.lit(False))
+        | F.coalesce(F.exists(F.coalesce(table, simple), lambda t: _path_matches(path, t["pattern"], t["automaton"])), F.lit(False))
     )
     return (
         F.when(_no_items(schemes), u["scheme"].isNull())
@@ -138,18 +161,18 @@ def uri_matches(data, uri) -> Column:
     )
 
 
-def uri_part_matches(data, uri) -> Column:
+def uri_part_matches(data, uri, table=None) -> Column:
     """URI half of the data test: a filter without schemes takes no URI, a scheme-less one, ``content:`` or ``file:``."""
     d, u = _col(data), _col(uri)
     no_scheme = _no_items(d["schemes"])
     return F.when(u.isNull(), no_scheme).otherwise(
-        uri_matches(d, u) | F.coalesce(u["scheme"].isin("content", "file") & no_scheme, F.lit(False))
+        uri_matches(d, u, table) | F.coalesce(u["scheme"].isin("content", "file") & no_scheme, F.lit(False))
     )
 
 
-def data_matches(data, uri, mime) -> Column:
+def data_matches(data, uri, mime, table=None) -> Column:
     """Whole data test: the URI half and the MIME half."""
-    return uri_part_matches(data, uri) & mime_matches(_col(data)["mimes"], mime)
+    return uri_part_matches(data, uri, table) & mime_matches(_col(data)["mimes"], mime)
 
 
 # --- signatures ---------------------------------------------------------------------------------------------------
