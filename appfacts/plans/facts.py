@@ -80,6 +80,31 @@ FROM {orders}"""
 # app, which so grows with the data.  Edges lead some steps on, so closures take several rounds.
 _APP = "CASE WHEN l_suppkey % 4 = 0 THEN 4 ELSE l_suppkey END"
 
+# Filters and requests with several values of every kind, one row for each value; some filters take any action.
+FACTS["fx_filter_values"] = """
+SELECT CAST(FLOOR(l_partkey / 40.0) AS BIGINT) AS app_id, l_partkey AS filter_id, (l_orderkey + l_linenumber) % 7 AS kind,
+  CASE (l_orderkey + l_linenumber) % 7
+    WHEN 2 THEN 'c' || CAST(l_suppkey % 4 AS STRING)
+    WHEN 3 THEN CASE l_suppkey % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'content' ELSE 'x' END
+    WHEN 4 THEN 'h' || CAST(l_suppkey % 3 AS STRING)
+    WHEN 5 THEN CASE l_orderkey % 3 WHEN 0 THEN '/a' WHEN 1 THEN '/ab' ELSE CASE l_suppkey % 3 WHEN 0 THEN '/(a|b)+' WHEN 1 THEN '/((a)(b))+x' ELSE '/b.*' END END
+    WHEN 6 THEN CASE l_suppkey % 4 WHEN 0 THEN 'text/*' WHEN 1 THEN 'image/png' WHEN 2 THEN 'audio/x' ELSE 'video/*' END
+    ELSE CASE WHEN l_suppkey % 40 = 0 THEN 'ANY' ELSE 'a' || CAST(l_suppkey % 6 AS STRING) END END AS value,
+  CASE WHEN l_orderkey % 4 = 1 THEN '80' WHEN l_orderkey % 4 = 2 THEN '81' END AS port, l_orderkey % 3 AS form
+FROM {lineitem} WHERE l_partkey % 5 > 0 OR (l_orderkey + l_linenumber) % 7 < 3"""
+
+FACTS["fx_request_values"] = """
+SELECT CAST(FLOOR(o_custkey / 30.0) AS BIGINT) AS app_id, o_orderkey AS intent_id, (l_partkey + l_linenumber) % 5 AS kind,
+  CASE (l_partkey + l_linenumber) % 5
+    WHEN 2 THEN 'c' || CAST(l_suppkey % 5 AS STRING)
+    WHEN 3 THEN CASE l_suppkey % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'content' WHEN 2 THEN 'x' END
+    WHEN 4 THEN CASE l_suppkey % 3 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'image/*' ELSE 'video/y' END
+    ELSE 'a' || CAST(l_suppkey % 8 AS STRING) END AS value,
+  CASE WHEN l_partkey % 4 > 0 THEN 'h' || CAST(l_partkey % 3 AS STRING) END AS host,
+  CASE l_partkey % 3 WHEN 1 THEN '80' WHEN 2 THEN '81' END AS port,
+  CASE l_suppkey % 6 WHEN 0 THEN '/a' WHEN 1 THEN '/abab' WHEN 2 THEN '/' || repeat('ab', 700) || 'x' WHEN 3 THEN '/bc' WHEN 4 THEN '/' || repeat('b', 1500) END AS path
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"""
+
 FACTS["fx_call_edges"] = f"""
 SELECT DISTINCT {_APP} AS app_id, l_suppkey * 120 + l_partkey % 120 AS caller,
   l_suppkey * 120 + (l_partkey % 120 + 1 + (l_orderkey + l_linenumber * 7) % 40) % 120 AS callee

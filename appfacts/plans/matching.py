@@ -180,6 +180,68 @@ def matching_filters(f):
     )
 
 
+def many_valued(f):
+    """Intents and filters whose arrays hold several values."""
+
+    def values(cond, c="value"):
+        return F.array_sort(F.collect_set(F.when(F.expr(cond), F.col(c))))
+
+    authority = F.struct(F.col("value").alias("host"), "port")
+    uri = F.struct(
+        F.col("value").alias("scheme"), F.when(F.col("value").isNotNull(), F.col("host")).alias("host"), "port", "path",
+        F.lit(None).cast("string").alias("path_prefix"), F.lit(None).cast("string").alias("path_pattern"),
+    )
+    filters = f["fx_filter_values"].groupBy("app_id", "filter_id").agg(
+        values("kind < 2").alias("actions"), values("kind = 2").alias("categories"),
+        F.struct(
+            values("kind = 3").alias("schemes"), F.collect_set(F.when(F.col("kind") == 4, authority)).alias("authorities"),
+            values("kind = 5 and form = 0").alias("paths"), values("kind = 5 and form = 1").alias("path_prefixes"),
+            values("kind = 5 and form = 2").alias("path_patterns"), values("kind = 6").alias("mimes"),
+        ).alias("data"),
+    )
+    intents = f["fx_request_values"].groupBy("app_id", "intent_id").agg(
+        values("kind < 2").alias("actions"), values("kind = 2").alias("categories"),
+        F.collect_set(F.when(F.col("kind") == 3, uri)).alias("uris"), values("kind = 4").alias("mimes"),
+    )
+    names = F.array().cast("array<string>").alias("component_names")
+    return intents.select("*", names), filters.withColumn("component", F.concat(F.lit("F"), F.col("filter_id").cast("string")))
+
+
+@query(
+    "e1_many_valued_filters",
+    """
+WITH f AS (SELECT app_id, filter_id, list(DISTINCT value) FILTER (WHERE kind < 2) AS actions, list(DISTINCT value) FILTER (WHERE kind = 2) AS categories,
+    list(DISTINCT value) FILTER (WHERE kind = 3) AS schemes, list(DISTINCT {'host': value, 'port': port}) FILTER (WHERE kind = 4) AS hosts,
+    list(DISTINCT value) FILTER (WHERE kind = 5 AND form = 0) AS paths, list(DISTINCT value) FILTER (WHERE kind = 5 AND form = 1) AS prefixes,
+    list(DISTINCT value) FILTER (WHERE kind = 5 AND form = 2) AS patterns, list(DISTINCT value) FILTER (WHERE kind = 6) AS mimes
+  FROM fx_filter_values GROUP BY 1, 2),
+q AS (SELECT app_id, intent_id, list(DISTINCT value) FILTER (WHERE kind < 2) AS actions, list(DISTINCT value) FILTER (WHERE kind = 2) AS categories,
+    bool_or(kind = 3) AS has_uri, list(DISTINCT value) FILTER (WHERE kind = 4) AS mimes FROM fx_request_values GROUP BY 1, 2),
+u AS (SELECT DISTINCT app_id, intent_id, value AS scheme, CASE WHEN value IS NOT NULL THEN host END AS host, port, path FROM fx_request_values WHERE kind = 3),
+by_uri AS (SELECT DISTINCT u.app_id, intent_id, filter_id FROM u JOIN f USING (app_id) WHERE CASE
+    WHEN schemes IS NULL THEN scheme IS NULL OR scheme = 'content'
+    WHEN scheme IS NULL OR NOT list_contains(schemes, scheme) THEN false
+    WHEN hosts IS NULL THEN true
+    WHEN len(list_filter(hosts, lambda h: h.host = u.host AND (h.port IS NULL OR coalesce(h.port = u.port, false)))) = 0 THEN false
+    WHEN paths IS NULL AND prefixes IS NULL AND patterns IS NULL THEN true
+    WHEN path IS NULL THEN false
+    ELSE coalesce(list_contains(paths, path), false) OR coalesce(len(list_filter(prefixes, lambda p: starts_with(path, p))) > 0, false)
+      OR coalesce(len(list_filter(patterns, lambda p: regexp_full_match(path, p))) > 0, false) END),
+fits AS (SELECT q.app_id, q.intent_id, f.filter_id FROM q JOIN f USING (app_id) LEFT JOIN by_uri b ON b.app_id = q.app_id AND b.intent_id = q.intent_id AND b.filter_id = f.filter_id
+  WHERE (q.actions IS NULL OR coalesce(list_has_any(q.actions, f.actions), false) OR coalesce(list_contains(f.actions, 'ANY'), false))
+    AND (q.categories IS NULL OR coalesce(list_has_any(q.categories, f.categories), false))
+    AND CASE WHEN q.has_uri THEN b.filter_id IS NOT NULL ELSE f.schemes IS NULL END
+    AND CASE WHEN q.mimes IS NULL THEN f.mimes IS NULL ELSE coalesce(len(list_filter(f.mimes, lambda t: len(list_filter(q.mimes, lambda m:
+      split_part(t, '/', 1) = split_part(m, '/', 1) AND (split_part(t, '/', 2) IN ('*', split_part(m, '/', 2)) OR split_part(m, '/', 2) = '*'))) > 0)) > 0, false) END)
+SELECT app_id, intent_id, COUNT(*) AS n_filters, CAST(SUM(filter_id) AS BIGINT) AS filter_sum FROM fits GROUP BY 1, 2""",
+)
+def many_valued_filters(f):
+    """Filters of the same app that each intent passes, where both have several actions, categories, URIs and types."""
+    rows = M.match_filters(*many_valued(f)).expand()
+    number = F.substring("component", 2, 20).cast("bigint")
+    return rows.groupBy("app_id", "intent_id").agg(F.count(F.lit(1)).alias("n_filters"), F.sum(number).alias("filter_sum"))
+
+
 _CALL_SQL = f"i.app_id, i.comp_type, i.component AS name, {_CONTENT}, i.precise_explicit, i.precise_implicit"
 _E2_SQL = f"""{_BASE_SQL},
 i AS (SELECT app_id, comp_type, component, {_CONTENT.replace('i.', '')}, uri, precise_explicit, precise_implicit, COUNT(*) AS n_intents FROM iu GROUP BY ALL),
