@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -29,6 +30,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers find this package where it isn't installed (a checkout, with the driver elsewhere)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: written once, read by all later steps, kept when an executor goes away."""
     ensure_checkpoint_dir(df.sparkSession)
