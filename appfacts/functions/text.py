@@ -102,6 +102,11 @@ def _grouped(expression: Column) -> Column:
     return expression.rlike(REPEATED_GROUP) & ~expression.rlike(PLAIN_PATTERN)
 
 
+def needs_table(patterns) -> Column:
+    """Whether any path pattern has to run as an automaton."""
+    return F.coalesce(F.exists(_col(patterns), lambda x: _grouped(path_pattern(x))), F.lit(False))
+
+
 def pattern_table(patterns) -> Column:
     """Path patterns with automata for those that repeat groups: array of (pattern, automaton).
 
@@ -110,7 +115,7 @@ def pattern_table(patterns) -> Column:
     """
     p = _col(patterns)
     expressions = F.transform(p, lambda x: F.when(_grouped(path_pattern(x)) & compiles(path_pattern(x)), path_pattern(x)))
-    needed = F.exists(p, lambda x: _grouped(path_pattern(x)))
+    needed = needs_table(p)
     return compile_patterns(F.when(needed, p), F.when(needed, expressions))
 
 

@@ -52,8 +52,8 @@ def rule_tables(spark: SparkSession, rules: list[Rule]) -> tuple[DataFrame, Data
     )
     conditions = local_table(
         spark,
-        [(r.name, i, kind, value) for r in rules for i, alts in r.conditions.items() for kind, value in alts],
-        "rule string, arg_idx int, kind string, value string",
+        [(r.name, place, i, kind, value) for r in rules for place, i in enumerate(r.conditions) for kind, value in r.conditions[i]],
+        "rule string, place int, arg_idx int, kind string, value string",
     )
     return callees, conditions
 
@@ -62,7 +62,7 @@ def match_rule_calls(call_sites: DataFrame, rules: list[Rule]) -> DataFrame:
     """Call sites whose callee a rule names, by whole signature or by sub-signature.
 
     With whole signatures only, the list also goes to the scan as a filter; sub-signatures are taken apart only when
-    some rule needs them.
+    some rule needs them.  With both, a site is looked up in either list once and gets a row for each rule found.
     """
     callees, _ = rule_tables(call_sites.sparkSession, rules)
     exact = sorted({c for r in rules if not r.by_sub_signature for c in r.callees})
@@ -71,8 +71,19 @@ def match_rule_calls(call_sites: DataFrame, rules: list[Rule]) -> DataFrame:
     sub = signature_parts("callee_sig")["sub_sig"]
     if not exact:
         return call_sites.withColumn("callee", sub).join(callees, "callee")
-    keyed = call_sites.withColumn("callee", F.explode(F.array_distinct(F.array("callee_sig", sub))))
-    return keyed.join(callees, "callee").where(F.col("by_sub_sig") == (F.col("callee") != F.col("callee_sig")))
+    listed = callees.groupBy("callee", "by_sub_sig").agg(F.collect_list(F.struct("rule", "message", "n_conditions")).alias("__rules"))
+    whole, part = (
+        F.broadcast(listed.where(F.col("by_sub_sig") == by).select(F.col("callee").alias(key), F.col("__rules").alias(out)))
+        for by, key, out in ((False, "callee_sig", "__whole"), (True, "__sub", "__part"))
+    )
+    found = call_sites.withColumn("__sub", sub).join(whole, "callee_sig", "left").join(part, "__sub", "left")
+    none = F.array().cast(listed.schema["__rules"].dataType)
+    rules_of = F.concat(F.coalesce("__whole", none), F.coalesce("__part", none))
+    return found.where("__whole is not null or __part is not null").select(*call_sites.columns, F.inline(rules_of))
+
+
+#: Condition places that one whole number marks.
+WORD = 62
 
 
 def check_call_rules(call_sites: DataFrame, arg_values: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -83,16 +94,16 @@ def check_call_rules(call_sites: DataFrame, arg_values: DataFrame, rules: list[R
     """
     _, conditions = rule_tables(call_sites.sparkSession, rules)
     sites = match_rule_calls(call_sites, rules)
-    hits = arg_values.join(conditions, ["arg_idx", "kind", "value"]).select(
-        "app_id", "site_id", "rule", "arg_idx"
-    )
-    # Different argument positions are counted as bits, which combine before the shuffle.
+    hits = arg_values.join(conditions, ["arg_idx", "kind", "value"]).select("app_id", "site_id", "rule", "place")
+    # Conditions met are marked as bits, which combine before the shuffle, in as many words as the longest rule needs.
+    words = range(max((len(r.conditions) for r in rules), default=0) // WORD + 1)
     met = hits.groupBy("app_id", "site_id", "rule").agg(
-        F.bit_count(F.bit_or(F.expr("shiftleft(1L, arg_idx)"))).alias("n_met")
+        *[F.bit_or(F.expr(f"if(place div {WORD} = {w}, shiftleft(1L, place % {WORD}), 0L)")).alias(f"__w{w}") for w in words]
     )
+    n_met = sum((F.bit_count(F.coalesce(f"__w{w}", F.lit(0))) for w in words), F.lit(0))
     return (
         sites.join(met, ["app_id", "site_id", "rule"], "left")
-        .where(F.coalesce("n_met", F.lit(0)) == F.col("n_conditions"))
+        .where(n_met == F.col("n_conditions"))
         .select("app_id", "site_id", "rule", "message", *[c for c in ("owner", "owner_sig", "component") if c in call_sites.columns])
         .distinct()
     )

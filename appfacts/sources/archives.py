@@ -6,9 +6,12 @@ import io
 import zipfile
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from appfacts.session import cut_lineage, workers_import
+
 MANIFEST, CODE = "AndroidManifest.xml", "classes.dex"
 FLAGS_SCHEMA = "uri string, has_manifest boolean, has_code boolean, error string"
 
@@ -19,16 +22,21 @@ TAIL = 1 << 20
 MAX_FILE = (1 << 31) - 1 - 1024
 
 
-def _read_names(content: bytes) -> tuple[bool, bool, str | None]:
-    """Flags from an archive, or from its last bytes if they hold the directory."""
+def _names_of(file) -> tuple[bool, bool, str | None]:
+    """Flags from an open archive, of which only the directory is read."""
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
+        with zipfile.ZipFile(file) as z:
             names = set(z.namelist())
         return MANIFEST in names, CODE in names, None
     except (zipfile.BadZipFile, OSError, ValueError) as e:
         return False, False, f"{type(e).__name__}: {e}"
 
 
+def _read_names(content: bytes) -> tuple[bool, bool, str | None]:
+    """Flags from an archive, or from its last bytes if they hold the directory."""
+    return _names_of(io.BytesIO(content))
+
+
 def _flags(batches):
     for batch in batches:
         rows = [(uri, *_read_names(bytes(content))) for uri, content in zip(batch["uri"], batch["content"])]
@@ -62,17 +70,49 @@ def archive_flags(files: DataFrame, tail: int = TAIL) -> DataFrame:
     )
 
 
+def _open(uri: str):
+    """A file of any store that the worker can open itself, to be read in parts."""
+    if uri.startswith("file:"):
+        return open("/" + uri.removeprefix("file:").lstrip("/"), "rb")
+    store, path = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(path)
+
+
+def _ranged(batches):
+    for batch in batches:
+        rows = []
+        for uri in batch["uri"]:
+            try:
+                file = _open(uri)
+            except Exception:  # a store that only Spark reads: its files are handed over by Spark
+                rows.append((uri, None, None, None, False))
+                continue
+            with file:
+                rows.append((uri, *_names_of(file), True))
+        yield pd.DataFrame(rows, columns=["uri", "has_manifest", "has_code", "error", "opened"])
+
+
 def scan_app_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Flags of every file under a folder; a file too long for one value gives a row with an error.
+    """Flags of every file under a folder, of any size.
 
-    A worker holds the ends of some archives at a time; Spark ends an Arrow batch at its byte limit.
+    Spark lists the files; tasks read of each only its directory, which an archive has at its end.  Files of a store that
+    workers can't open are read by Spark, one value each; among these, one too long for a value gives a row with an error.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumnRenamed("path", "uri")
     )
-    readable = archive_flags(files.where(F.col("length") <= MAX_FILE).select("uri", "content"))
+    workers_import(spark)
+    ranged = cut_lineage(files.select("uri").mapInPandas(_ranged, f"{FLAGS_SCHEMA}, opened boolean"))
+    opened = ranged.where("opened").select(
+        "uri", (F.col("has_manifest") & F.col("has_code")).alias("is_valid"), F.col("has_code").alias("is_decompilable"), "error"
+    )
+    closed = ranged.where("not opened").select("uri")
+    if closed.isEmpty():
+        return opened
+    left = files.join(closed, "uri", "left_semi")
+    readable = archive_flags(left.where(F.col("length") <= MAX_FILE).select("uri", "content"))
     no = F.lit(False)
-    too_long = files.where(F.col("length") > MAX_FILE).select(
+    too_long = left.where(F.col("length") > MAX_FILE).select(
         "uri", no.alias("is_valid"), no.alias("is_decompilable"), F.lit("file too long to read").alias("error")
     )
-    return readable.unionByName(too_long)
+    return opened.unionByName(readable).unionByName(too_long)

@@ -44,3 +44,28 @@ def test_folder(spark, tmp_path):
     got = scan_app_archives(spark, str(tmp_path)).collect()
     # Spark lists no empty files.
     assert sum(r.is_valid for r in got) == 3 and len(got) == len(FILES) - 1
+
+
+def test_file_of_three_gigabytes(spark, tmp_path):
+    """Longer than a value may be; the file is sparse, and only its directory is read."""
+    with open(tmp_path / "large.apk", "wb") as f:
+        f.truncate(3 << 30)
+        f.seek(3 << 30)
+        f.write(FILES["both"])
+    (tmp_path / "small one.apk").write_bytes(FILES["code"])
+    got = {r.uri.rsplit("/", 1)[1]: (r.is_valid, r.is_decompilable, r.error) for r in scan_app_archives(spark, str(tmp_path)).collect()}
+    assert got == {"large.apk": (True, True, None), "small one.apk": (False, True, None)}
+
+
+def test_store_that_workers_cannot_open(spark, tmp_path, monkeypatch):
+    for name in ("both", "text"):
+        (tmp_path / f"{name}.apk").write_bytes(FILES[name])
+
+    def closed(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame([(u, None, None, None, False) for u in batch["uri"]], columns=["uri", "has_manifest", "has_code", "error", "opened"])
+
+    monkeypatch.setattr("appfacts.sources.archives._ranged", closed)
+    assert sorted((r.is_valid, r.error is None) for r in scan_app_archives(spark, str(tmp_path)).collect()) == [(False, False), (True, True)]

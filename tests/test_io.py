@@ -105,3 +105,15 @@ def test_folded_intents_can_be_resolved(spark, rows):
     flt = filters(Facts(spark, SF)).limit(1).select(F.lit(0).alias("app_id"), F.lit("C").alias("component"), F.lit(1).alias("filter_id"), F.array(F.lit("go")).alias("actions"), F.array().cast("array<string>").alias("categories"), F.expr("named_struct('schemes', array(), 'authorities', array(), 'paths', array(), 'path_prefixes', array(), 'path_patterns', array(), 'mimes', array())").cast(
         "struct<schemes:array<string>,authorities:array<struct<host:string,port:string>>,paths:array<string>,path_prefixes:array<string>,path_patterns:array<string>,mimes:array<string>>").alias("data"))
     assert rows(resolve_intents(intents, flt).targets, "scope", "target_type") == [("FILTER", "IMPLICIT")]
+
+
+def test_rules_of_any_length_and_both_kinds(spark, rows):
+    """Conditions on more than 64 positions, and a site that a whole and a sub-signature name."""
+    long = R.Rule("long", "m", ("La/B;.go:(I)V",), {i: [("int", "1"), ("int", "2")] for i in range(130)})
+    sub = R.Rule("sub", "m", ("go:(I)V",), {}, True)
+    sites = spark.createDataFrame([(0, s, "La/B;.go:(I)V") for s in range(3)] + [(0, 9, "La/C;.go:(I)V"), (0, 10, "La/C;.no:()V")], "app_id int, site_id int, callee_sig string")
+    args = [(0, 0, i, "int", str(1 + i % 2)) for i in range(130)] + [(0, 0, 5, "int", "2")]
+    args += [(0, 1, i, "int", "1") for i in range(130) if i != 64] + [(0, 1, i, "int", "2") for i in range(64)]
+    args = spark.createDataFrame(args, "app_id int, site_id int, arg_idx int, kind string, value string")
+    found = R.check_call_rules(sites, args, [long, sub])
+    assert rows(found, "site_id", "rule") == sorted([(0, "long"), (0, "sub"), (1, "sub"), (2, "sub"), (9, "sub")], key=repr)
