@@ -9,9 +9,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from appfacts.session import cut_lineage
 from appfacts.sinks.staged import has_stage
 
 SEEN = "_ingested_apps"
+#: Folders by app that a staged table is kept in, and their column.
+BUCKETS, BUCKET = 256, "app_bucket"
+
+
+def earlier(spark: SparkSession, path: str, batch_id: int, buckets: list[int]) -> DataFrame:
+    """Rows of earlier batches in some buckets; other folders aren't read."""
+    return spark.read.parquet(path).where((F.col("batch_id") < batch_id) & F.col(BUCKET).isin(buckets))
+
+
+def _write(df: DataFrame, folder: str) -> None:
+    # A task for each bucket, or hot ones would come in as many files as there are tasks.
+    df.hint("rebalance", BUCKET).write.partitionBy(BUCKET).mode("overwrite").parquet(folder)
 
 
 def ingest_apps(
@@ -20,25 +33,30 @@ def ingest_apps(
     """Append new facts to a staged table, each row once.
 
     Files that appear under ``in_path`` are picked up as a stream.  An app may come in several deliveries: rows of a
-    known app are compared with what earlier batches brought of that app, and those that are new are added.  Every
-    batch writes its own partition and overwrites it when it is repeated after a failure, so the result does not
-    depend on restarts.
+    known app are compared with what earlier batches brought of that app, and those that are new are added.  The table is
+    kept in BUCKETS folders by app, so a delivery reads the folders of its own known apps and no others.  Every batch
+    writes its own partition and overwrites it when it is repeated after a failure, so the result does not depend on
+    restarts.
     """
+    mark = F.pmod(F.xxhash64("app_id"), F.lit(BUCKETS)).cast("int")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        new = batch.distinct()
+        new = batch.distinct().withColumn(BUCKET, mark)
         if has_stage(spark, out_root, f"{table}{SEEN}"):
-            seen = spark.read.parquet(f"{out_root}/{table}{SEEN}").where(F.col("batch_id") < batch_id).select("app_id")
-            again = seen.join(new.select("app_id").distinct(), "app_id", "left_semi").distinct()
-            if not again.isEmpty():
-                before = spark.read.parquet(f"{out_root}/{table}").where(F.col("batch_id") < batch_id)
+            # The buckets are a bounded list, by which partitions are picked.
+            fresh = [r[0] for r in new.select(BUCKET).distinct().collect()]
+            seen = earlier(spark, f"{out_root}/{table}{SEEN}", batch_id, fresh).select("app_id")
+            again = cut_lineage(seen.join(new.select("app_id").distinct(), "app_id", "left_semi").distinct())
+            buckets = [r[0] for r in again.select(mark).distinct().collect()]
+            if buckets:
+                before = earlier(spark, f"{out_root}/{table}", batch_id, buckets)
                 before = before.join(again, "app_id", "left_semi").select(*new.columns)
                 known = new.join(again, "app_id", "left_semi").subtract(before)
                 new = new.join(again, "app_id", "left_anti").unionByName(known)
         # The facts come first: an app counts as known once they are complete.
-        new.write.mode("overwrite").parquet(f"{out_root}/{table}/batch_id={batch_id}")
-        done = spark.read.parquet(f"{out_root}/{table}/batch_id={batch_id}")
-        done.select("app_id").distinct().write.mode("overwrite").parquet(f"{out_root}/{table}{SEEN}/batch_id={batch_id}")
+        _write(new, f"{out_root}/{table}/batch_id={batch_id}")
+        done = spark.read.schema(new.schema).parquet(f"{out_root}/{table}/batch_id={batch_id}")
+        _write(done.select("app_id", BUCKET).distinct(), f"{out_root}/{table}{SEEN}/batch_id={batch_id}")
 
     return (
         spark.readStream.schema(schema)

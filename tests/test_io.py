@@ -13,6 +13,8 @@ from appfacts.plans.misuse import ecb_cipher
 from appfacts.sinks import staged as S
 from appfacts.sources.archives import scan_app_archives
 from appfacts.sources.lines import read_code_units
+from appfacts.sinks.staged import matrix_cells, write_frequency_matrix
+from appfacts.streaming import ingest
 from appfacts.streaming.ingest import ingest_apps
 
 SF = "/root/testdata/sf0.001"
@@ -117,3 +119,42 @@ def test_rules_of_any_length_and_both_kinds(spark, rows):
     args = spark.createDataFrame(args, "app_id int, site_id int, arg_idx int, kind string, value string")
     found = R.check_call_rules(sites, args, [long, sub])
     assert rows(found, "site_id", "rule") == sorted([(0, "long"), (0, "sub"), (1, "sub"), (2, "sub"), (9, "sub")], key=repr)
+
+
+def test_matrix_of_many_values(spark, tmp_path):
+    """50,000 columns, names with commas, quotes and back slashes; every cell, and a plain CSV reader's view."""
+    import csv
+
+    names = [f"v{i:05}" for i in range(50_000)]
+    names[7], names[8], names[9] = 'a,"b', "back\\slash,", '"'
+    rows_ = [(f"app,{i % 3}" if i % 2 else f"app{i % 3}", n) for i, n in enumerate(names)] + [("one", names[7])] * 5
+    stats = spark.createDataFrame(rows_, "app_id string, name string")
+    write_frequency_matrix(stats, "name", f"{tmp_path}/m", files=4)
+    got = {(r.app_id, r.value): r.n for r in matrix_cells(spark, f"{tmp_path}/m").collect()}
+    want = {}
+    for r in rows_:
+        want[r] = want.get(r, 0) + 1
+    assert got == want
+    seen = set()
+    csv.field_size_limit(1 << 30)
+    for file in sorted((tmp_path / "m").rglob("part-*")):
+        head, *lines = list(csv.reader(file.open(newline=""), escapechar="\\", doublequote=False))
+        assert head[0] == "app_id" and len(head) == 50_001 and sorted(head[1:]) == sorted(names)
+        for line in lines:
+            assert len(line) == 50_001
+            seen |= {(line[0], head[i]) for i, c in enumerate(line) if i and c}
+    assert seen == want.keys()
+
+
+def test_delivery_reads_its_own_buckets(spark, tmp_path):
+    """A repeated delivery looks at the folders of its own apps only."""
+    facts = spark.range(2000).selectExpr("id AS app_id", "concat('f', id) AS fact")
+    facts.write.parquet(f"{tmp_path}/in/a")
+    schema = facts.schema
+    ingest_apps(spark, f"{tmp_path}/in/*", schema, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    plan = ingest.earlier(spark, f"{tmp_path}/out/facts", 1, [3, 5])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "app_bucket" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    facts.where("app_id in (3, 4)").unionByName(spark.createDataFrame([(3, "late")], schema)).write.parquet(f"{tmp_path}/in/b")
+    ingest_apps(spark, f"{tmp_path}/in/*", schema, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out/facts")
+    assert out.count() == 2001 and out.where("batch_id = 1").count() == 1
