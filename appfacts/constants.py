@@ -93,15 +93,17 @@ COMPONENT_BASE_CLASSES = {
 }
 
 # --- class name prefixes ------------------------------------------------------------------------------------------
+# Packages that count as library code, in the order in which they are given (one is given twice there).
 LIBRARY_PREFIXES = """
-android. com.actionbarsherlock. com.admarvel. com.admob. com.adobe.air. com.adwhirl. com.amazon. com.amazonaws.
-com.android.vending. com.applovin. com.burstly.lib. com.chartboost.sdk. com.comscore. com.crittercism. com.flurry.
-com.google. com.greystripe. com.inmobi. com.jumptap.adtag. com.millennialmedia. com.mobclix.android.
-com.mopub.mobileads. com.tapjoy. com.unity3d.player. com.urbanairship. com.viewpagerindicator. dalvik. java. javax.
-junit. mediba.ad.sdk. oauth.signpost. org.acra. org.apache. org.bouncycastle. org.codehaus. org.json. org.slf4j.
-org.springframework. org.w3c. org.xml. org.xmlpull.
+android. dalvik. java. javax. junit. org.apache. org.json. org.w3c. org.xml. org.xmlpull. com.google. org.bouncycastle.
+org.codehaus. com.flurry. com.actionbarsherlock. com.burstly.lib. com.chartboost.sdk. com.comscore. com.inmobi.
+com.mobclix.android. oauth.signpost. org.acra. com.amazon. com.amazonaws. com.android.vending. com.millennialmedia.
+com.tapjoy. com.mopub.mobileads. com.viewpagerindicator. com.adwhirl. com.urbanairship. org.slf4j. com.jumptap.adtag.
+com.crittercism. com.applovin. com.greystripe. org.springframework. com.unity3d.player. com.admarvel. com.admob.
+mediba.ad.sdk. com.adobe.air.
 """.split()
 
+# Fixed values.
 THIRD_PARTY_PREFIXES = """
 com.amazon. com.google. com.inmobi. com.millennialmedia. org.apache. com.adobe. com.android. com.facebook.
 com.flurry. org.slf4j. com.admob. com.baidu. com.renren. com.mobfox. com.applovin. com.tapjoy. com.adwhirl.
