@@ -153,12 +153,25 @@ def license_spans(
             F.max("last_word").alias("last_word"),
             F.max("diagonal").alias("diagonal"),
             F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("covered"),
+            F.max(F.struct(F.size("covered").alias("n"), (-F.col("first_word")).alias("before"), "last_word")).alias("best"),
         )
         .withColumn("cover", F.col("covered") / F.col("n_grams"))
     )
-    length = F.col("last_word") - F.col("first_word") + 1
+    longest = (F.col("n_grams") + k - 1) * STRETCH
+    fits = (F.col("cover") >= cover) & (F.col("last_word") - F.col("first_word") + 1 <= longest)
+    # Stray places near a full match can stretch the span too far: then its best diagonal is looked at alone.
+    alone = ~F.col("exact") & ~fits
+    best = F.col("best")
+    merged = merged.withColumns(
+        {
+            "first_word": F.when(alone, -best["before"]).otherwise(F.col("first_word")),
+            "last_word": F.when(alone, best["last_word"]).otherwise(F.col("last_word")),
+            "covered": F.when(alone, best["n"]).otherwise(F.col("covered")),
+            "cover": F.when(alone, best["n"] / F.col("n_grams")).otherwise(F.col("cover")),
+        }
+    )
     verified = F.when(F.col("exact"), F.col("covered") == F.col("n_grams")).otherwise(
-        (F.col("cover") >= cover) & (length <= (F.col("n_grams") + k - 1) * STRETCH)
+        (F.col("cover") >= cover) & (F.col("last_word") - F.col("first_word") + 1 <= longest)
     )
     own = F.col("template").isNull()
     return merged.where(own | verified).select(

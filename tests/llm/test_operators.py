@@ -64,6 +64,14 @@ def test_licenses_near_wording(spark):
     assert by_id[2].labels == "" and by_id[2].score == 0
 
 
+def test_licenses_with_stray_words_nearby(spark):
+    """A full match counts though words of the template come again close to it."""
+    rows = [(1, "Released under the MIT License."), (2, "Released under the MIT License. The MIT License applies."), (3, "the MIT, the MIT")]
+    clashing = table(spark, rows).withColumns({c: F.lit(1) for c in ("label", "gram", "key", "pos")})
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan_licenses(clashing).collect()}
+    assert got == {1: ("mit", 1.0), 2: ("mit", 1.0), 3: ("", 0.0)}
+
+
 # -- URLs -------------------------------------------------------------------------------------------------------
 
 
