@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -20,8 +21,8 @@ from appfacts.llm.tables import map_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 HIDDEN = frozenset(
-    "head script style template noscript iframe object svg audio video canvas datalist title meta link noembed"
-    " noframes select area param source track".split()
+    "head script style template noscript iframe object audio video canvas datalist title meta link noembed"
+    " noframes area param source track desc metadata defs symbol clippath mask".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -59,16 +60,20 @@ _TAG = re.compile(
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
 _STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-#: Nesting beyond this is flattened: deeper elements become siblings, as browsers do.
-MAX_DEPTH = 200
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_SELECTOR = re.compile(r"([a-z][\w-]*|\*)?((?:[.#][\w-]+)*)\Z", re.I)
+#: What a button without a caption of its own shows.
+CAPTIONS = {"submit": "Submit", "reset": "Reset", "button": ""}
 
 
 class Element:
-    __slots__ = ("attrs", "content", "name")
+    __slots__ = ("attrs", "cells", "content", "name", "rows", "shown", "visibility")
 
     def __init__(self, name: str, attrs: str):
         self.name, self.attrs = name, attrs
         self.content: list[Element | str] = []
+        # Set by ``mark``: whether it is laid out, what it says on visibility, and whether rows or cells are shown inside.
+        self.shown, self.visibility, self.rows, self.cells = True, "", False, False
 
     def attributes(self) -> dict[str, str]:
         out: dict[str, str] = {}
@@ -78,22 +83,45 @@ class Element:
         return out
 
 
-def parse(page: str) -> Element:
-    """The tree of a page, with the ends that its author left out."""
-    root = Element("html", "")
-    open_: list[Element] = [root]
+class Open:
+    """The elements that are open, innermost last, with how many there are of each name."""
+
+    def __init__(self, root: Element):
+        self.all: list[Element] = [root]
+        self.count: dict[str, int] = {}
+
+    def push(self, e: Element) -> None:
+        self.all.append(e)
+        self.count[e.name] = self.count.get(e.name, 0) + 1
 
-    def close(names, barrier) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].name in names:
-                # The outermost of them that no barrier parts from here.
-                while i > 1 and open_[i - 1].name in names:
+    def cut(self, at: int) -> None:
+        for e in self.all[at:]:
+            self.count[e.name] -= 1
+        del self.all[at:]
+
+    def has(self, names) -> bool:
+        return any(self.count.get(n) for n in names)
+
+    def close(self, names, barrier) -> None:
+        """End the outermost of the named elements that no barrier parts from here."""
+        if not self.has(names):
+            return
+        for i in range(len(self.all) - 1, 0, -1):
+            if self.all[i].name in names:
+                while i > 1 and self.all[i - 1].name in names:
                     i -= 1
-                del open_[i:]
+                self.cut(i)
                 return
-            if open_[i].name in barrier:
+            if self.all[i].name in barrier:
                 return
 
+
+def parse(page: str) -> Element:
+    """The tree of a page, with the ends that its author left out."""
+    root = Element("html", "")
+    tree = Open(root)
+    open_ = tree.all
+
     at = 0
     while at < len(page):
         lt = page.find("<", at)
@@ -115,12 +143,12 @@ def parse(page: str) -> Element:
         if m["close"]:
             if name == "br":
                 open_[-1].content.append(Element("br", ""))
-            elif name == "p" and not any(e.name == "p" for e in open_):
+            elif name == "p" and not tree.has(("p",)):
                 open_[-1].content.append(Element("p", ""))
-            else:
+            elif tree.has((name,)):
                 for i in range(len(open_) - 1, 0, -1):
                     if open_[i].name == name:
-                        del open_[i:]
+                        tree.cut(i)
                         break
                     if open_[i].name in _SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
                         break
@@ -128,22 +156,22 @@ def parse(page: str) -> Element:
         if name in ("html", "body"):
             root.attrs = root.attrs or m["attrs"]
             if name == "body":
-                close({"head"}, frozenset())
+                tree.cut(1)
                 root.content.append(body := Element("body", m["attrs"]))
-                open_[1:] = [body]
+                tree.push(body)
             continue
         if name in _PARAGRAPH_ENDS:
-            close({"p"}, _SCOPE)
+            tree.close({"p"}, _SCOPE)
             if re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", open_[-1].name):
-                open_.pop()
+                tree.cut(len(open_) - 1)
         if name in _SELF_ENDS:
             if name in ("li", "dt", "dd"):
-                close({"p"}, _SCOPE | {"li", "dt", "dd"})
-            close(*_SELF_ENDS[name])
+                tree.close({"p"}, _SCOPE | {"li", "dt", "dd"})
+            tree.close(*_SELF_ENDS[name])
         if name in ("td", "th") and open_[-1].name in ("table", "tbody", "thead", "tfoot"):
             row = Element("tr", "")
             open_[-1].content.append(row)
-            open_.append(row)
+            tree.push(row)
         element = Element(name, m["attrs"])
         open_[-1].content.append(element)
         if name in RAW:
@@ -152,8 +180,8 @@ def parse(page: str) -> Element:
             element.content.append(unescape(page[at:stop]) if name == "textarea" else page[at:stop])
             gt = page.find(">", stop)
             at = gt + 1 if end and gt >= 0 else len(page)
-        elif name not in VOID and len(open_) < MAX_DEPTH:
-            open_.append(element)
+        elif name not in VOID:
+            tree.push(element)
     return root
 
 
@@ -161,18 +189,74 @@ def _text(open_: list[Element], text: str) -> None:
     open_[-1].content.append(unescape(text))
 
 
-def visible(e: Element) -> bool:
-    if e.name in HIDDEN:
-        return False
-    if not e.attrs or not e.attrs.strip(" /"):
-        return True
-    a = e.attributes()
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or (e.name == "input"):
-        return False
-    if e.name == "dialog" and "open" not in a:
-        return False
-    style = {k.lower(): v.lower() for k, v in _STYLE.findall(a.get("style", ""))}
-    return style.get("display") != "none" and style.get("visibility") not in ("hidden", "collapse")
+class Sheet:
+    """Rules of the page's own style sheets on display and visibility, for selectors of one element.
+
+    A selector is a name, classes and ids; rules for several elements (descendants, states) and those inside other media
+    than the screen have no effect here.
+    """
+
+    def __init__(self, text: str):
+        self.rules: list[tuple[tuple, str, set[str], str, dict[str, str]]] = []
+        text, at = _COMMENT.sub(" ", text), 0
+        while (brace := text.find("{", at)) >= 0:
+            head, depth, end = text[at:brace].rpartition(";")[2].strip(), 1, brace + 1
+            while depth and end < len(text):
+                m = re.compile(r"[{}]").search(text, end)
+                end = m.end() if m else len(text)
+                depth += 0 if not m else 1 if m[0] == "{" else -1
+            body = text[brace + 1 : end - 1]
+            at = end
+            if head.startswith("@"):
+                if re.match(r"@media\s+(all|screen)\s*\Z", head, re.I):
+                    self.rules += Sheet(body).rules
+                continue
+            said = {k.lower(): v.lower() for k, v in _STYLE.findall(body)}
+            for selector in head.split(",") if said else []:
+                if (m := _SELECTOR.match(selector.strip())) and m[0]:
+                    marks = re.findall(r"[.#][\w-]+", m[2])
+                    ids = [x[1:] for x in marks if x[0] == "#"]
+                    name = (m[1] or "*").lower()
+                    weight = (len(ids), len(marks) - len(ids), name != "*")
+                    if len(set(ids)) < 2:
+                        self.rules.append((weight, name, {x[1:] for x in marks if x[0] == "."}, "".join(ids[:1]), said))
+        self.rules.sort(key=lambda r: r[0])
+
+    def said(self, e: Element, a: dict[str, str]) -> dict[str, str]:
+        out: dict[str, str] = {}
+        classes, id_ = set(a.get("class", "").split()), a.get("id", "")
+        for _, name, of, own, said in self.rules:
+            if name in ("*", e.name) and of <= classes and (not own or own == id_):
+                out |= said
+        return out
+
+
+def mark(root: Element) -> None:
+    """Set on every element whether it is laid out, and what rows and cells it holds.
+
+    Hidden elements, closed dialogs, all but the summary of closed details, and those with ``display: none`` aren't laid
+    out; ``visibility`` is inherited, and may be taken back further in.
+    """
+    every, at = [root], 0
+    while at < len(every):
+        every += [x for x in every[at].content if isinstance(x, Element)]
+        at += 1
+    sheet = Sheet("\n".join(x for e in every if e.name == "style" for x in e.content if isinstance(x, str)))
+    for e in every:
+        a = e.attributes() if e.attrs and e.attrs.strip(" /") else {}
+        said = (sheet.said(e, a) if sheet.rules else {}) | {k.lower(): v.lower() for k, v in _STYLE.findall(a.get("style", ""))}
+        e.visibility = said.get("visibility", "")
+        e.shown = (
+            e.name not in HIDDEN and "hidden" not in a and said.get("display") != "none"
+            and not (e.name == "dialog" and "open" not in a)
+            and not (e.name == "input" and a.get("type", "").lower() not in CAPTIONS)
+        )
+        if e.name == "details" and "open" not in a:
+            e.content = next(([x] for x in e.content if isinstance(x, Element) and x.name == "summary"), [])
+    for e in reversed(every):  # what stands inside comes later, so it is done before
+        inside = [x for x in e.content if isinstance(x, Element) and x.name != "table" and x.shown]
+        e.rows = any(x.name == "tr" or x.rows for x in inside)
+        e.cells = any(x.name in ("td", "th") or x.cells for x in inside)
 
 
 def width(text: str) -> int:
@@ -192,9 +276,12 @@ class Layout:
         self.mark = ""
         self.space = False
         self.blank = False
+        self.hidden = False
 
     def word(self, text: str) -> None:
         """Inline text, spaces already collapsed."""
+        if self.hidden:
+            return
         if text.startswith(" "):
             self.space, text = True, text[1:]
         if not text:
@@ -232,6 +319,8 @@ class Layout:
 
     def raw(self, text: str) -> None:
         self.line()
+        if self.hidden:
+            return
         for row in text.strip("\n").split("\n"):
             self._put(row.rstrip("\r"))
 
@@ -241,20 +330,39 @@ class Layout:
 
 
 def render(root: Element) -> str:
+    mark(root)
     out = Layout()
-    _content(root, out, False, [])
+    _run(_content(root, out, False, []))
     return out.text()
 
 
-def _content(e: Element, out: Layout, pre: bool, lists: list) -> None:
+def _run(task: Iterator) -> None:
+    """Run a task that yields the tasks it waits for: an explicit stack, so that any depth of nesting works."""
+    stack = [task]
+    while stack:
+        inner = next(stack[-1], None)
+        stack.append(inner) if inner is not None else stack.pop()
+
+
+def _content(e: Element, out: Layout, pre: bool, lists: list) -> Iterator:
     for x in e.content:
         if isinstance(x, str):
             out.raw(x) if pre and "\n" in x else out.word(x if pre else _SPACES.sub(" ", x))
-        elif visible(x):
-            _element(x, out, pre, lists)
+        elif x.shown:
+            was = out.hidden
+            out.hidden = x.visibility != "visible" if x.visibility in ("hidden", "collapse", "visible") else was
+            yield _element(x, out, pre, lists)
+            out.hidden = was
+
 
+def _apart(text: str, out: Layout) -> None:
+    """A caption with spaces around."""
+    out.word(" ")
+    out.word(_SPACES.sub(" ", text).strip())
+    out.word(" ")
 
-def _element(e: Element, out: Layout, pre: bool, lists: list) -> None:
+
+def _element(e: Element, out: Layout, pre: bool, lists: list) -> Iterator:
     name = e.name
     if name == "br":
         out.hard_break()
@@ -267,13 +375,13 @@ def _element(e: Element, out: Layout, pre: bool, lists: list) -> None:
             out.word(_SPACES.sub(" ", alt))
     elif name == "table":
         out.gap()
-        _table(e, out, lists)
+        yield _table(e, out, lists)
         out.gap()
     elif name in ("ul", "ol", "menu", "dir"):
         out.line() if lists else out.gap()
         start = e.attributes().get("start", "1") if name == "ol" else "1"
-        inner = [*lists, [name, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1]]
-        _content(e, out, pre, inner)
+        inner = [[name, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1]]
+        yield _content(e, out, pre, inner)
         out.line() if lists else out.gap()
     elif name == "li":
         out.line()
@@ -283,82 +391,91 @@ def _element(e: Element, out: Layout, pre: bool, lists: list) -> None:
             mark = f"{kind[1]}. "
             kind[1] += 1
         was, out.indent, out.mark = out.indent, out.indent + " " * len(mark), mark
-        _content(e, out, pre, lists)
+        yield _content(e, out, pre, lists)
         out.line()
         out.indent, out.mark = was, ""
     elif name in ("dd", "blockquote"):
         out.line() if name == "dd" else out.gap()
         was, out.indent = out.indent, out.indent + "  "
-        _content(e, out, pre, lists)
+        yield _content(e, out, pre, lists)
         out.line() if name == "dd" else out.gap()
         out.indent = was
     elif name in BLOCK:
         spaced = name in SPACED
         out.gap() if spaced else out.line()
-        _content(e, out, pre or name == "pre", lists)
+        yield _content(e, out, pre or name == "pre", lists)
         out.gap() if spaced else out.line()
+    elif name == "input":
+        a = e.attributes()
+        _apart(a.get("value", CAPTIONS[a["type"].lower()]), out)
+    elif name in ("option", "optgroup"):
+        label = e.attributes().get("label", "") if e.attrs else ""
+        _apart(label, out)
+        if name == "optgroup" or not label:
+            yield _content(e, out, pre, lists)
+        out.word(" ")
     elif name == "textarea":
-        _content(e, out, True, lists)
+        yield _content(e, out, True, lists)
     elif name == "semantics":  # of a formula: its annotations aren't shown
         e.content = [x for x in e.content if isinstance(x, str) or not x.name.startswith("annotation")]
-        _content(e, out, pre, lists)
+        yield _content(e, out, pre, lists)
     elif name in ("td", "th"):  # outside a table
-        _content(e, out, pre, lists)
+        yield _content(e, out, pre, lists)
         out.word(" ")
     else:
-        _content(e, out, pre, lists)
+        yield _content(e, out, pre, lists)
 
 
 _SECTIONS = frozenset(("tbody", "thead", "tfoot", "colgroup"))
 
 
-def _holds(e: Element, names: frozenset[str]) -> bool:
-    """Whether an element with one of the names is shown inside, not counting those of tables of its own."""
-    return any(
-        isinstance(x, Element) and x.name != "table" and visible(x) and (x.name in names or _holds(x, names)) for x in e.content
-    )
-
-
 _ROW, _CELL = frozenset(("tr",)), frozenset(("td", "th"))
 
 
-def _parts(e: Element, names: frozenset[str]) -> list[tuple[bool, Element | str]]:
-    """What a table, section or row holds in order: (True, an element with one of the names) or (False, stray content).
+def _parts(e: Element, names: frozenset[str], hidden: bool) -> list[tuple[bool, Element | str, bool]]:
+    """What a table, section or row holds in order: (True, an element with one of the names) or (False, stray content),
+    and whether it is hidden.
 
     Elements between, such as a form around cells, are looked through; those without such a part inside stay whole.
     """
-    out: list[tuple[bool, Element | str]] = []
-    for x in e.content:
-        if isinstance(x, str):
-            out.append((False, x))
-        elif not visible(x):
-            continue
-        elif x.name in names:
-            out.append((True, x))
-        elif x.name != "table" and (x.name in _SECTIONS or _holds(x, names)):
-            out += _parts(x, names)
-        else:
-            out.append((False, x))
+    out: list[tuple[bool, Element | str, bool]] = []
+    stack = [(iter(e.content), hidden)]
+    while stack:
+        content, hidden = stack[-1]
+        x = next(content, None)
+        if x is None:
+            stack.pop()
+        elif isinstance(x, str):
+            out.append((False, x, hidden))
+        elif x.shown:
+            own = x.visibility != "visible" if x.visibility in ("hidden", "collapse", "visible") else hidden
+            if x.name in names:
+                out.append((True, x, own))
+            elif x.name != "table" and (x.name in _SECTIONS or (x.rows and "tr" in names) or (x.cells and "td" in names)):
+                stack.append((iter(x.content), own))
+            else:
+                out.append((False, x, own))
     return out
 
 
-def _rows(e: Element) -> tuple[list[list[Element]], list[Element | str]]:
-    """(cells of each row, stray content of the table and its rows).  Cells outside rows make a row."""
-    rows: list[list[Element]] = []
-    stray: list[Element | str] = []
+def _rows(e: Element, hidden: bool) -> tuple[list[list[tuple[Element, bool]]], list[tuple[Element | str, bool]]]:
+    """(cells of each row, stray content of the table and its rows), each with whether it is hidden.  Cells outside rows
+    make a row."""
+    rows: list[list[tuple[Element, bool]]] = []
+    stray: list[tuple[Element | str, bool]] = []
     loose = False
-    for wanted, x in _parts(e, _ROW | _CELL):
+    for wanted, x, unseen in _parts(e, _ROW | _CELL, hidden):
         if not wanted:
-            stray.append(x)
+            stray.append((x, unseen))
         elif x.name in _CELL:
             if not loose:
                 rows.append([])
-            rows[-1].append(x)
+            rows[-1].append((x, unseen))
             loose = True
         else:
-            inner = _parts(x, _CELL)
-            rows.append([y for cell, y in inner if cell])
-            stray += [y for cell, y in inner if not cell]
+            inner = _parts(x, _CELL, unseen)
+            rows.append([(y, no) for cell, y, no in inner if cell])
+            stray += [(y, no) for cell, y, no in inner if not cell]
             loose = False
     return rows, stray
 
@@ -367,34 +484,37 @@ def _number(value: str | None) -> int:
     return max(1, min(int(value), 1000)) if value and re.fullmatch(r"\d{1,6}", value) else 1
 
 
-def _table(e: Element, out: Layout, lists: list) -> None:
+def _table(e: Element, out: Layout, lists: list) -> Iterator:
     """Cells in columns as wide as their widest cell of one column; a cell's further lines stand below its first."""
-    rows, stray = _rows(e)
-    for x in stray:  # caption, and what the page misplaced into the table
+    was = out.hidden
+    rows, stray = _rows(e, was)
+    for x, out.hidden in stray:  # caption, and what the page misplaced into the table
         if isinstance(x, str):
             out.word(_SPACES.sub(" ", x))
         else:
             out.line()
-            _element(x, out, False, lists)
+            yield _element(x, out, False, lists)
             out.line()
     out.line()
     grid: list[list[tuple[int, int, list[str]]]] = []  # (column, columns, lines)
     taken: dict[int, int] = {}  # column: rows that a cell above still takes
     for cells in rows:
         row, column = [], 0
-        for x in cells:
+        for x, unseen in cells:
             while taken.get(column, 0):
                 column += 1
             a = x.attributes() if x.attrs else {}
             span, down = _number(a.get("colspan")), _number(a.get("rowspan"))
             cell = Layout()
-            _content(x, cell, False, [])
+            cell.hidden = unseen
+            yield _content(x, cell, False, [])
             row.append((column, span, cell.text().split("\n")))
             for c in range(column, column + span):
                 taken[c] = max(taken.get(c, 0), down)
             column += span
         taken = {c: n - 1 for c, n in taken.items() if n > 1}
         grid.append(row)
+    out.hidden = False  # cells know by themselves
     widths: dict[int, int] = {}
     for row in grid:
         for column, span, lines in row:
@@ -414,6 +534,7 @@ def _table(e: Element, out: Layout, lists: list) -> None:
                     used += lead + width(lines[n])
             if line:
                 out.raw("".join(line))
+    out.hidden = was
 
 
 def page_text(page: str | None) -> str:
@@ -423,7 +544,8 @@ def page_text(page: str | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, text, n_chars and n_lines of the visible text of every row; null and empty pages have empty text.
 
-    Repeated rows give repeated rows; other columns are not read.
+    Repeated rows give repeated rows; other columns are not read.  A page is read whole, however long and deeply nested;
+    an empty table gives no rows.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -514,7 +514,7 @@ def test_toxicity_cases(spark):
         ("<dl><dt>t<dd>d</dl><blockquote>q</blockquote>", "t\n  d\n\n  q"),
         ("<p>a</i></div></p>b</p>c", "a\n\nb\n\nc"),
         ("<b>un<p>closed", "un\n\nclosed"),
-        ("<img alt='pic' src=x><input value=v><select><option>o</select>y", "picy"),
+        ("<img alt='pic' src=x><input value=v><select><option>o</select>y", "pic o y"),
         ("<a href=\"x>y\">l</a> <", "l <"),
         ("<div>" * 3000 + "deep", "deep"),
         ("", ""),
@@ -535,12 +535,34 @@ def test_page_layout(page, text):
         ("<table><colgroup><col><td>A</table>", "A"),
         ("a <textarea>b &amp; <i>c</textarea>d", "a b & <i>cd"),
         ("<math><semantics><mi>x</mi><annotation>tex</annotation></semantics></math> y", "x y"),
+        ("<select><optgroup label=g><option>a<option selected>b</select>", "g a b"),
+        ("<span aria-hidden=true>a</span>b", "ab"),
+        ("<p style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no", "yes"),
+        ("<table><tr style='visibility:hidden'><td>no<td style='visibility: visible'>a<tr><td>b</table>", "   a\nb"),
+        ("<table style='visibility:collapse'><caption>no</caption><tr><td>no</table>x", "x"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>a</text></svg>", "a"),
+        ("<input type=submit value='Go on'><input type=reset><input type=text value=no><input value=no>", "Go on Reset"),
+        ("<details><summary>s</summary>no<p>no</details><details open><summary>t</summary>u</details>", "s\nt\nu"),
+        ("<details>no</details><dialog>no</dialog><dialog open>d</dialog>", "d"),
+        ("<style>/* .a{} */ .h, #i {display:none} p.v{visibility:hidden} b{display:none}</style><i class='x h'>n</i><i id=i>n</i>"
+         "<p class=v>n<b style='display:inline'>n</b></p><p>y<b>n</b>", "y"),
+        ("<style>@media print {.h{display:none}} div .d{display:none} .e{display:none} p.e{display:block}</style>"
+         "<i class=h>a</i><div><i class=d>b</i></div><p class=e>c<i class=e>n", "a\nb\n\nc"),
+        ("<style>.h{display:none", ""),
     ],
 )
 def test_all_visible_text_is_kept(page, text):
     assert html_text.page_text(page) == text
 
 
+@pytest.mark.parametrize("tag", ["div", "b", "blockquote", "ul><li", "table><tr><td", "form", "p><b"])
+def test_any_depth(tag):
+    """What is deep is laid out as what is not: hidden parts stay hidden, tables keep their columns."""
+    deep = f"<{tag}>" * 3000 + "<p style='display:none'>no</p><table><tr><td>aa<td>b<tr><td>c<td>d</table>"
+    lines = [x.strip() for x in html_text.page_text(deep).split("\n") if x.strip(" -")]
+    assert [x.lstrip("- ") for x in lines] == ["aa  b", "c   d"]
+
+
 def test_pages(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "<p>x", 0), (3, "<p>x", 0), (4, "<td>" * 50_000, 0)]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id bigint, html string, text int"))
