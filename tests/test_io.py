@@ -5,6 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from appfacts.operators import facts as P
+from appfacts.operators import models
 from appfacts.operators import rules as R
 from appfacts.operators.matching import resolve_intents
 from appfacts.plans.facts import Facts
@@ -158,3 +159,23 @@ def test_delivery_reads_its_own_buckets(spark, tmp_path):
     ingest_apps(spark, f"{tmp_path}/in/*", schema, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     out = spark.read.parquet(f"{tmp_path}/out/facts")
     assert out.count() == 2001 and out.where("batch_id = 1").count() == 1
+
+
+def test_object_models_of_users(spark, rows):
+    """A user's class with calls of its own, next to bundles; copies of copies; values that aren't known."""
+    sites = [(0, 1, "Lmy/Box;.store:(Ljava/lang/String;Lmy/T;)V"), (0, 2, "Lmy/Box;.load:(Ljava/lang/String;)Lmy/T;"), (0, 3, "Lmy/Box;.from:(Lmy/Box;)V"),
+             (0, 4, "Landroid/os/Bundle;.putAll:(Landroid/os/Bundle;)V"), (0, 5, "Landroid/os/Bundle;.getInt:(Ljava/lang/String;I)I"), (0, 6, "Lmy/Box;.load:(Ljava/lang/String;)Lmy/T;")]
+    args = [(0, 1, 0, "object", None, 10), (0, 1, 1, "string", "a", None), (0, 1, 2, "object", None, 99)]
+    args += [(0, 2, 0, "object", None, 12), (0, 2, 1, "string", "a", None), (0, 6, 0, "object", None, 10), (0, 6, 1, "point_string", None, None)]
+    args += [(0, 3, 0, "object", None, 11), (0, 3, 1, "object", None, 10), (0, 4, 0, "object", None, 12), (0, 4, 1, "object", None, 11)]
+    args += [(0, 5, 0, "object", None, 12), (0, 5, 1, "string", "a", None)]
+    sites = spark.createDataFrame(sites, "app_id int, site_id int, callee_sig string")
+    args = spark.createDataFrame(args, "app_id int, site_id int, arg_idx int, kind string, value string, instance_id bigint")
+    own = models.ObjectModels().register_models(
+        models.Model("Lmy/Box;", "store", f"{models.TEXT}{models.OBJECT}", "V", "put", 0, 1, 2),
+        models.Model("Lmy/Box;", "load", models.TEXT, models.OBJECT, "get", 0, 1),
+        models.Model("Lmy/Box;", "from", "Lmy/Box;", "V", "copy", 0, None, 1),
+    )
+    reads = models.extras_of_calls(sites, args, own).reads
+    assert rows(reads, "get_id", "n_values") == [("0|2|12|string|a", 1), ("0|6|10|point_string|", 1)]
+    assert models.extras_of_calls(sites, args).reads.count() == 0
