@@ -105,11 +105,10 @@ SELECT CAST(FLOOR(o_custkey / 30.0) AS BIGINT) AS app_id, o_orderkey AS intent_i
   CASE l_suppkey % 6 WHEN 0 THEN '/a' WHEN 1 THEN '/abab' WHEN 2 THEN '/' || repeat('ab', 700) || 'x' WHEN 3 THEN '/bc' WHEN 4 THEN '/' || repeat('b', 1500) END AS path
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"""
 
-# Calls on bundles and filters.  A bundle is copied from ones with smaller numbers only in its own app; ``other`` is the
-# object that an argument or the result is.
+# Calls on bundles and filters; ``other`` is the object that one is copied from.
 FACTS["fx_object_calls"] = """
 SELECT DISTINCT (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS site_id, l_suppkey AS app_id, (l_orderkey + l_linenumber) % 12 AS op, l_suppkey * 1000 + l_partkey % 90 AS object,
-  l_suppkey * 1000 + (l_partkey % 90 + 7 + l_orderkey % 11) % 90 AS other, -((l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey) AS made,
+  l_suppkey * 1000 + (l_partkey % 90 * 7 + l_orderkey % 3) % 45 AS other, -((l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey) AS made,
   'k' || CAST(l_orderkey % 6 AS STRING) AS key, l_orderkey % 9 = 0 AS open_key, 'v' || CAST(l_orderkey % 4 AS STRING) AS text, l_orderkey % 7 = 0 AS open_text
 FROM {lineitem}"""
 
