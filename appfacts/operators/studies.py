@@ -16,7 +16,7 @@ from appfacts.functions.text import (
     string_and_class_literals,
 )
 from appfacts.operators.manifest import exclude_third_party
-from appfacts.session import broadcast_if_small, cut_lineage
+from appfacts.session import BROADCAST_ROWS, cut_lineage, short_list
 
 
 # --- component statistics -----------------------------------------------------------------------------------------
@@ -61,23 +61,28 @@ def frequency_matrix(stats: DataFrame, metric: str, values: list | None = None)
 
 
 # --- hidden APIs --------------------------------------------------------------------------------------------------
-def hidden_api_usage(code_units: DataFrame, api_list: DataFrame) -> DataFrame:
+def hidden_api_usage(code_units: DataFrame, api_list: DataFrame, max_list: int = BROADCAST_ROWS) -> DataFrame:
     """(app_id, kind, api): a class of the list and one of its listed methods both named in one code unit.
 
-    Literals are joined to the list by equality, class names first, then the unit's bare names.
+    A unit's class names are joined to the list by equality.  The list's methods, taken together for each class, then meet
+    the names of the same row, so with a short list (``max_list`` rows) only what is found is shuffled.  Beside a longer
+    one, classes and names are joined by unit, so that names are not copied for every class.
     """
-    apis = broadcast_if_small(api_list.select("kind", "class_name", "method").distinct())
+    apis, short = short_list(api_list.select("kind", "class_name", "method").where("class_name is not null and method is not null").distinct(), max_list)
     unit = ["app_id", "unit_id"]
     lits = code_units.select(*unit, string_and_class_literals("code").alias("l"))
-    candidates = (
-        lits.select(*unit, F.explode("l.classes").alias("class_name")).distinct().join(apis, "class_name")
-    )
-    names = lits.select(*unit, F.explode("l.names").alias("method")).distinct()
-    return (
-        candidates.join(names, [*unit, "method"], "left_semi")
-        .select("app_id", "kind", F.concat_ws(".", "class_name", "method").alias("api"))
-        .distinct()
-    )
+    classes = F.explode(F.array_distinct("l.classes")).alias("class_name")
+    if short:
+        methods = apis.groupBy("class_name", "kind").agg(F.collect_set("method").alias("methods"))
+        found = (
+            lits.select("app_id", classes, F.col("l.names").alias("names"))
+            .join(F.broadcast(methods), "class_name")
+            .select("app_id", "kind", "class_name", F.explode(F.array_intersect("methods", "names")).alias("method"))
+        )
+    else:
+        names = lits.select(*unit, F.explode("l.names").alias("method")).distinct()
+        found = lits.select(*unit, classes).distinct().join(apis, "class_name").join(names, [*unit, "method"], "left_semi")
+    return found.select("app_id", "kind", F.concat_ws(".", "class_name", "method").alias("api")).distinct()
 
 
 def api_usage_counts(usage: DataFrame) -> DataFrame:
