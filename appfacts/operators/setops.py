@@ -12,11 +12,12 @@ from appfacts.operators.skew import skew_join
 
 def corpus_diff(usage_a: DataFrame, usage_b: DataFrame, side_a: str = "a", side_b: str = "b") -> DataFrame:
     """(side, kind, api): APIs used in one corpus only."""
-    a, b = usage_a.select("kind", "api"), usage_b.select("kind", "api")
-    return (
-        a.subtract(b).select(F.lit(side_a).alias("side"), "kind", "api")
-        .unionByName(b.subtract(a).select(F.lit(side_b).alias("side"), "kind", "api"))
-    )
+    a = usage_a.select("kind", "api", F.lit(True).alias("in_a"), F.lit(False).alias("in_b"))
+    b = usage_b.select("kind", "api", F.lit(False).alias("in_a"), F.lit(True).alias("in_b"))
+    # Combined before the one shuffle, so it takes a row for each different API only.
+    seen = a.unionByName(b).groupBy("kind", "api").agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+    side = F.when(F.col("in_a"), side_a).otherwise(side_b)
+    return seen.where("in_a <> in_b").select(side.alias("side"), "kind", "api")
 
 
 def hidden_apis(framework: DataFrame, sdk: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hidden APIs: what is shuffled, and that both ways of joining agree."""
 
+from appfacts.operators.setops import corpus_diff
 from appfacts.operators.studies import hidden_api_usage
 
 UNITS = [
@@ -31,3 +32,11 @@ def test_names_of_units_stay_in_place(spark):
     """With a short list only the list itself and what is found are shuffled."""
     found = hidden_api_usage(*tables(spark))
     assert not [x for x in exchanges(found) if "unit_id" in x]
+
+
+def test_corpora_are_compared_in_one_shuffle(spark, rows):
+    schema = "kind string, api string"
+    a = spark.createDataFrame([("h", "x"), ("h", "x"), ("h", "y"), (None, "z"), ("n", None)], schema)
+    b = spark.createDataFrame([("h", "y"), ("h", "w"), ("h", "w"), ("n", None)], schema)
+    assert len(exchanges(corpus_diff(a, b))) == 1
+    assert rows(corpus_diff(a, b)) == sorted([("a", "h", "x"), ("a", None, "z"), ("b", "h", "w")], key=repr)
