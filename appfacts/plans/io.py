@@ -54,9 +54,10 @@ def _zip_batches(batches):
   p_size % 11 = 0 AS unreadable FROM part""",
 )
 def archives(f):
-    files = f["part"].select(F.concat(F.lit("app"), F.col("p_partkey").cast("string"), F.lit(".apk")).alias("uri"), "p_size").mapInPandas(
-        _zip_batches, "uri string, content binary"
-    )
+    # The table is one small file; its archives are made and read by all tasks, which a given number keeps apart.
+    n = int(f.spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = f["part"].select(F.concat(F.lit("app"), F.col("p_partkey").cast("string"), F.lit(".apk")).alias("uri"), "p_size").repartition(n, "uri")
+    files = parts.mapInPandas(_zip_batches, "uri string, content binary")
     return archive_flags(files).select("uri", "is_valid", "is_decompilable", F.col("error").isNotNull().alias("unreadable"))
 
 

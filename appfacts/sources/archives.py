@@ -39,8 +39,8 @@ def _read_names(content: bytes) -> tuple[bool, bool, str | None]:
 
 def _flags(batches):
     for batch in batches:
-        rows = [(uri, *_read_names(bytes(content))) for uri, content in zip(batch["uri"], batch["content"])]
-        yield pd.DataFrame(rows, columns=["uri", "has_manifest", "has_code", "error"])
+        rows = [(uri, *_read_names(bytes(content)), long) for uri, content, long in zip(batch["uri"], batch["content"], batch["long"])]
+        yield pd.DataFrame(rows, columns=["uri", "has_manifest", "has_code", "error", "long"])
 
 
 def archive_flags(files: DataFrame, tail: int = TAIL) -> DataFrame:
@@ -50,23 +50,18 @@ def archive_flags(files: DataFrame, tail: int = TAIL) -> DataFrame:
     and its error.  Only the archive's directory is looked at, which stands at its end: the last bytes go to Python, and
     the whole of a longer file only if they give no directory.
     """
+    workers_import(files.sparkSession)
     length = F.length("content")
-    ends = files.select("uri", length.alias("size"), F.substring(F.col("content"), -tail, tail).alias("content"))
-    first = ends.select("uri", "content").mapInPandas(_flags, FLAGS_SCHEMA)
+    ends = files.select("uri", (length > tail).alias("long"), F.substring(F.col("content"), -tail, tail).alias("content"))
+    # Written once, so that files are not made or read again for each use of their flags.
+    first = cut_lineage(ends.mapInPandas(_flags, f"{FLAGS_SCHEMA}, long boolean"))
     # A directory larger than the tail shows as an error, as does a file that is no archive.
-    long = files.where(length > tail).select("uri", "content")
-    again = long.join(first.where(F.col("error").isNotNull()).select("uri"), "uri", "left_semi")
-    second = again.mapInPandas(_flags, FLAGS_SCHEMA).withColumnsRenamed(
-        {"has_manifest": "m2", "has_code": "c2", "error": "e2"}
-    ).withColumn("second", F.lit(True))
-    both = first.join(second, "uri", "left")
-    manifest = F.when(F.col("second"), F.col("m2")).otherwise(F.col("has_manifest"))
-    code = F.when(F.col("second"), F.col("c2")).otherwise(F.col("has_code"))
-    return both.select(
-        "uri",
-        (manifest & code).alias("is_valid"),
-        code.alias("is_decompilable"),
-        F.when(F.col("second"), F.col("e2")).otherwise(F.col("error")).alias("error"),
+    unsure = first.where("long and error is not null")
+    if not unsure.isEmpty():
+        again = files.join(unsure.select("uri"), "uri", "left_semi").withColumn("long", length > tail)
+        first = first.where("not (long and error is not null)").unionByName(again.where("long").mapInPandas(_flags, first.schema))
+    return first.select(
+        "uri", (F.col("has_manifest") & F.col("has_code")).alias("is_valid"), F.col("has_code").alias("is_decompilable"), "error"
     )
 
 

@@ -69,3 +69,17 @@ def test_store_that_workers_cannot_open(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr("appfacts.sources.archives._ranged", closed)
     assert sorted((r.is_valid, r.error is None) for r in scan_app_archives(spark, str(tmp_path)).collect()) == [(False, False), (True, True)]
+
+
+def test_files_are_made_once(spark):
+    """Flags come from one pass over the files, unless a directory is larger than the tail."""
+    made = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    df = spark.createDataFrame([(k, v) for k, v in FILES.items()], "uri string, content binary")
+    assert archive_flags(df.mapInPandas(make, df.schema)).count() == len(FILES)
+    assert made.value == len(FILES)
