@@ -179,3 +179,20 @@ def test_object_models_of_users(spark, rows):
     reads = models.extras_of_calls(sites, args, own).reads
     assert rows(reads, "get_id", "n_values") == [("0|2|12|string|a", 1), ("0|6|10|point_string|", 1)]
     assert models.extras_of_calls(sites, args).reads.count() == 0
+
+
+def test_class_files_are_written_by_several_tasks(spark):
+    """The classes come from a table of one file; writing a file for each must not be one task."""
+    from pathlib import Path
+
+    from appfacts.plans.facts import Facts
+    from appfacts.plans.io import code_units, ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    root = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(root.glob("appfacts-*"))
+    n = code_units(Facts(spark, SF)).count()
+    (folder,) = set(root.glob("appfacts-*")) - before
+    files = list(folder.rglob("part-*.txt"))
+    assert len(files) == n
+    assert len({f.name.split("-")[1] for f in files}) > 1
