@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from appfacts import constants as K
 from appfacts.operators.skew import number_rows
+from appfacts.session import cut_lineage
 
 REPORT = ["app_id", "section", "item", "body"]
 
@@ -34,6 +35,8 @@ def app_report(
 
     Sections: permission, component, filter, icc_call, icc_target, taint_source, taint_sink, taint_path.
     """
+    # Outcomes of long plans: each is written on its own, so that the driver never holds them as one plan.
+    targets, taint_pairs = cut_lineage(targets), cut_lineage(taint_pairs)
     name = F.col("component")
     pair = F.concat_ws("->", F.col("source").cast("string"), F.col("sink").cast("string"), F.col("problem"))
     parts = [

@@ -196,3 +196,27 @@ def test_class_files_are_written_by_several_tasks(spark):
     files = list(folder.rglob("part-*.txt"))
     assert len(files) == n
     assert len({f.name.split("-")[1] for f in files}) > 1
+
+
+def test_report_reads_targets_and_pairs_as_written(spark, rows):
+    """The plans that make targets and findings end before the report's own."""
+    from appfacts.operators import reports as R
+
+    def made(n, schema, *values):
+        return spark.createDataFrame([values], schema).join(spark.range(n).selectExpr("CAST(id AS INT) AS app_id"), "app_id")
+
+    permissions = spark.createDataFrame([(0, "p")], "app_id int, permission string")
+    components = spark.createDataFrame([(0, "c", "ACTIVITY", True, True, "p")], "app_id int, component string, comp_type string, exported boolean, enabled boolean, permission string")
+    filters = spark.createDataFrame([(0, "c", 1, ["a"], ["b"], "d")], "app_id int, component string, filter_id int, actions array<string>, categories array<string>, data string")
+    calls = spark.createDataFrame(
+        [(0, "q", "ACTIVITY", ["c"], [], [], [], [], True, True, 1)],
+        "app_id int, call_id string, comp_type string, component_names array<string>, actions array<string>, categories array<string>, uris array<string>,"
+        " mimes array<string>, precise_explicit boolean, precise_implicit boolean, n_intents int",
+    )
+    targets = made(2, "app_id int, call_id string, scope string, target string, target_type string", 0, "q", "COMPONENT", "c", "EXPLICIT")
+    nodes = spark.createDataFrame([(0, 3, "source", "API_SOURCE", "s")], "app_id int, node int, role string, category string, descriptor string")
+    pairs = made(2, "app_id int, source int, sink int, problem string", 0, 3, 7, "information_theft")
+    report = R.app_report(permissions, components, filters, calls, targets, nodes, pairs)
+    assert "Join" not in report._jdf.queryExecution().optimizedPlan().toString()
+    sections = [s for (s,) in rows(report, "section")]
+    assert sections == ["component", "filter", "icc_call", "icc_target", "permission", "taint_path", "taint_source"]
