@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from appfacts import constants as K
 from appfacts.functions.text import parameter_types, signature_parts
-from appfacts.operators.skew import skew_join
-from appfacts.session import cut_counted, cut_lineage, local_table
+from appfacts.operators.skew import distinct_dealt, skew_join
+from appfacts.session import broadcast_if_small, cut_counted, cut_lineage, local_table
 
 
 def super_edges(classes: DataFrame, *parents: str) -> DataFrame:
@@ -177,8 +177,9 @@ class RegistrationCallbacks(NamedTuple):
 
     def expand(self) -> DataFrame:
         """Callbacks per component; select the components of interest first."""
-        found = self.uses.join(self.callbacks, ["app_id", "listener_id"])
-        return found.select("app_id", "component", "class_id", "declaring_id", "sub_sig").distinct()
+        # A listener type may have most classes of an app below it.
+        found = skew_join(self.callbacks, self.uses, ["app_id", "listener_id"], once=True)
+        return distinct_dealt(found.select("app_id", "component", "class_id", "declaring_id", "sub_sig"))
 
 
 def registration_callbacks(
@@ -215,13 +216,15 @@ def registration_callbacks(
     interfaces = ids.join(listeners, "class_name").join(
         classes.where("is_interface").select("class_id"), "class_id", "left_semi"
     ).select(F.col("class_id").alias("ancestor_id"))
-    wanted = (
-        below.select("class_id").distinct()
-        .join(ancestor_rows, "class_id")
-        .join(interfaces, "ancestor_id", "left_semi")
-        .join(methods.select(F.col("class_id").alias("ancestor_id"), "sub_sig"), "ancestor_id")
-        .select("class_id", "sub_sig")
-        .distinct()
+    # Methods of listener interfaces are few, but most classes may have the same interface above them.
+    offered = broadcast_if_small(
+        methods.select(F.col("class_id").alias("ancestor_id"), "sub_sig").join(interfaces, "ancestor_id", "left_semi").distinct()
+    )
+    wanted = distinct_dealt(
+        ancestor_rows.select("class_id", "ancestor_id").join(offered, "ancestor_id")
+        .join(below.select("class_id").distinct(), "class_id", "left_semi")
+        .select("class_id", "sub_sig"),
+        "class_id",
     )
     # The first class on the way up that declares the method; one of a platform class is no callback.
     nearest = nearest_ancestor(ancestor_rows, methods, wanted, "sub_sig")

@@ -51,6 +51,15 @@ def skew_join(
     return left.drop("__pieces").join(right.drop("__pieces"), [*on, salt], how).drop(salt)
 
 
+def distinct_dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df.distinct()`` for rows that seldom repeat: dealt by a hash of ``by`` (all columns if none) before they are compared.
+
+    The plain form first compares the rows of each task that makes them; where few tasks make many rows (a hot key, a join
+    with many results), such a task would hold all of its own.
+    """
+    return df.repartition(*(by or df.columns)).distinct()
+
+
 def running_last(
     df: DataFrame, value: Column, group: list[str], order: str, out: str, chunk_rows: int = 100_000
 ) -> DataFrame:
