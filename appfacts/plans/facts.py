@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE_TABLES = """
 region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations
@@ -411,7 +412,8 @@ class Facts:
         dealt = f"{table} dealt"
         if dealt not in self._cache:
             tasks = -(-df.count() // DEALT_ROWS)  # counted from the file's footers
-            self._cache[dealt] = df.repartition(tasks, key) if tasks > 1 else df
+            # By a hash that no join is on: joins after it keep their own, adaptive partitions.
+            self._cache[dealt] = df.repartition(tasks, F.xxhash64(key)) if tasks > 1 else df
         return self._cache[dealt]
 
 
