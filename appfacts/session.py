@@ -36,17 +36,53 @@ def workers_import(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
 
 
+def _bounded_size(df: DataFrame) -> DataFrame:
+    """``df``, a checkpoint, without the size estimate and constraints of its origin once that size exceeds a long.
+
+    Estimates are multiplied by joins and kept by checkpoints: a loop that joins its own results doubles their digits each
+    round, until the numbers fill the driver's memory.  Partitioning and order are kept.
+    """
+    plan = df._jdf.logicalPlan()
+    try:
+        if plan.stats().sizeInBytes() < 2**63:
+            return df
+    except ValueError:  # more digits than Python reads
+        pass
+    spark = df.sparkSession
+    none = getattr(spark._jvm, "scala.None$").__getattr__("MODULE$")
+    plain = spark._jvm.org.apache.spark.sql.execution.LogicalRDD(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), spark._jsparkSession, none, none
+    )
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plain), spark)
+
+
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, *observed) -> DataFrame:
+    """Checkpoint of ``df``.  Its shuffle files are removed once it is written: nothing reads them again, and they would
+    stay until the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    was = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        # A frame takes the setting when it is made.
+        out = (df.observe(*observed) if observed else df.select("*")).checkpoint(eager=True)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, was)
+    return _bounded_size(out)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: written once, read by all later steps, kept when an executor goes away."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _written(df)
 
 
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``cut_lineage`` and the number of rows, counted while they are written."""
-    ensure_checkpoint_dir(df.sparkSession)
     seen = Observation()
-    out = df.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    out = _written(df, seen, F.count(F.lit(1)).alias("n"))
     return out, seen.get["n"]
 
 
