@@ -66,13 +66,14 @@ def archives(f):
 def code_units(f):
     """One text file per class."""
     folder = new_folder(f.spark)
-    # The table is one small file; its classes are written by all tasks, which move their own files (committer 2), not the driver.
+    # The table is one small file; its classes are written by all tasks.
     n = int(f.spark.conf.get("spark.sql.shuffle.partitions"))
-    f["part"].selectExpr(
-        "p_partkey % 10 AS app_id", "CASE WHEN p_size % 3 = 0 THEN 'library' ELSE 'application' END AS origin", "concat('p.C', p_partkey) AS class_name", "concat('code ', p_name) AS value"
-    ).repartition(n, "class_name").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(
-        "app_id", "origin", "class_name"
-    ).text(folder)
+    S.write_code_units(
+        f["part"].selectExpr(
+            "p_partkey % 10 AS app_id", "CASE WHEN p_size % 3 = 0 THEN 'library' ELSE 'application' END AS origin", "concat('p.C', p_partkey) AS class_name", "concat('code ', p_name) AS value"
+        ).repartition(n, "class_name"),
+        folder,
+    )
     return read_code_units(f.spark, folder).withColumn("code", F.rtrim(F.col("code"), F.lit("\n")))
 
 

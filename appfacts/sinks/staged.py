@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from appfacts.operators.studies import frequency_cells
-from appfacts.session import cut_counted, cut_lineage
+from appfacts.session import cut_counted, cut_lineage, workers_import
+from appfacts.sources.lines import store_of
 
 BUCKETS = 256
 #: Files that a matrix is written to.
@@ -135,3 +140,44 @@ def write_report(report: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Report rows as JSON lines in buckets of apps."""
     bucketed = report.withColumn("bucket", F.pmod(F.xxhash64("app_id"), F.lit(buckets)).cast("int"))
     bucketed.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").json(path)
+
+
+CLASS = ["app_id", "origin", "class_name"]
+DEFAULT_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+_UNSAFE = re.compile(r"[\x00-\x1f\"#%'*/:=?\\\x7f{\[\]^]")
+
+
+def write_code_units(units: DataFrame, folder: str) -> None:
+    """One text file for each row (app_id, origin, class_name, value), in a folder of that class.
+
+    A file costs Spark's writer a second one with checksums and, on local disks, two processes that set permissions: workers
+    write the files themselves where they can open the store.  An attempt that is repeated writes the same files again.
+    """
+
+    def write(batches):
+        number, last, f = TaskContext.get().partitionId(), None, None
+        try:
+            store, top = store_of(folder)
+        except Exception:  # a store that only Spark writes to
+            yield pa.RecordBatch.from_arrays([pa.array([False])], names=["opened"])
+            return
+        for b in batches:
+            for *key, value in zip(*[b.column(c).to_pylist() for c in (*CLASS, "value")], strict=True):
+                if key != last:
+                    if f is not None:
+                        f.close()
+                    folders = (f"{k}={DEFAULT_FOLDER if v in (None, '') else _UNSAFE.sub(lambda m: f'%{ord(m[0]):02X}', str(v))}" for k, v in zip(CLASS, key))
+                    at, last = "/".join([top, *folders]), key
+                    store.create_dir(at)
+                    f = store.open_output_stream(f"{at}/part-{number:05d}-code.txt")
+                f.write(f"{value or ''}\n".encode())
+        if f is not None:
+            f.close()
+
+    workers_import(units.sparkSession)
+    units = units.select(*CLASS, "value").sortWithinPartitions(*CLASS)
+    if not cut_lineage(units.mapInArrow(write, "opened boolean")).where("not opened").isEmpty():
+        # Tasks move their own files (committer 2), not the driver.
+        units.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy(
+            *CLASS
+        ).text(folder)

@@ -198,6 +198,25 @@ def test_class_files_are_written_by_several_tasks(spark):
     assert len({f.name.split("-")[1] for f in files}) > 1
 
 
+def test_class_tree_is_listed_and_read_by_few_tasks(spark, rows, tmp_path):
+    """A file for each class, as Spark's writer leaves them: as many tasks as are set read them, not one for a few files."""
+    classes = spark.range(300).selectExpr("id % 2 AS app_id", "'library' AS origin", "concat('p.C', id) AS class_name", "concat('code ', id) AS value")
+    classes.coalesce(1).write.partitionBy("app_id", "origin", "class_name").text(str(tmp_path / "spark"))
+    S.write_code_units(classes.repartition(2, "class_name"), str(tmp_path / "own"))
+    (tmp_path / "own" / "app_id=0" / ".hidden").write_text("x")
+    (tmp_path / "own" / "_SUCCESS").write_text("x")
+    a, b = (read_code_units(spark, f"file:{tmp_path}/{d}") for d in ("spark", "own"))
+    assert rows(a) == rows(b) == sorted(((i % 2, f"p.C{i}", "library", f"code {i}\n") for i in range(300)), key=repr)
+    assert a.rdd.getNumPartitions() <= 4
+    assert not list((tmp_path / "own").rglob("*.crc"))
+
+
+def test_rows_of_a_class_are_one_file(spark, rows, tmp_path):
+    lines = spark.createDataFrame([(1, "o", "p.A", "a"), (1, "o", "p.B", "b"), (1, "o", "p.A", None)], "app_id int, origin string, class_name string, value string")
+    S.write_code_units(lines.coalesce(1), str(tmp_path))
+    assert rows(read_code_units(spark, str(tmp_path)), "class_name", "code") in ([("p.A", "a\n\n"), ("p.B", "b\n")], [("p.A", "\na\n"), ("p.B", "b\n")])
+
+
 def test_report_reads_targets_and_pairs_as_written(spark, rows):
     """The plans that make targets and findings end before the report's own."""
     from appfacts.operators import reports as R
